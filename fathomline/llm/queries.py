@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import packing, tokens
+from fathomline.llm import packing, provenance, quality, tokens
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -32,6 +32,19 @@ def p2_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(slices(spark, d))
 
 
+def not_hand_written(spark: SparkSession, d: str) -> DataFrame:
+    code = table(spark, d, "documents").where("doc_kind = 'code'")
+    return provenance.not_hand_written(code, table(spark, d, "upstream_files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_hand_written(spark, d).select("doc_id")
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return not_hand_written(spark, d)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), BYTE_BPE)
 
@@ -40,5 +53,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.token_sizes(table(spark, d, "documents"), BYTE_BPE), CAPACITY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_budget, p7_ids, p8_containers)}
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_statistics(table(spark, d, "documents").where("doc_kind = 'text'"), table(spark, d, "common_words"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.mostly_not_prose(p9_statistics(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        p2_found, p2_budget, p5_found, p5_reasons, p7_ids, p8_containers, p9_statistics, p9_found,
+    )
+}
 ORACLE: dict[str, str] = {}
