@@ -6,14 +6,17 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import packing, provenance, quality, tokens
+from fathomline.llm import packing, provenance, quality, splitting, tokens
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 #: Tokens of a container.
 CAPACITY = 2048
+#: Bytes of an item's largest piece, and bytes that neighbours share.
+MOST_BYTES, OVERLAP_BYTES = 8192, 256
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,6 +35,21 @@ def p2_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(slices(spark, d))
 
 
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    functions = table(spark, d, "function_defs").select(
+        F.lit("function").alias("item_kind"), F.col("def_id").alias("item_id"), "filepath", "begin_pos", "end_pos"
+    )
+    sources = table(spark, d, "embed_sources").select(
+        F.lit("source").alias("item_kind"), F.col("source_id").alias("item_id"), "filepath",
+        F.col("subset.start_pos").alias("begin_pos"), F.col("subset.end_pos").alias("end_pos"),
+    )
+    return splitting.split_oversized(functions.unionByName(sources), table(spark, d, "documents"), MOST_BYTES, OVERLAP_BYTES)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).where("piece = 0").select("item_kind", "item_id").distinct()
+
+
 def not_hand_written(spark: SparkSession, d: str) -> DataFrame:
     code = table(spark, d, "documents").where("doc_kind = 'code'")
     return provenance.not_hand_written(code, table(spark, d, "upstream_files"))
@@ -63,7 +81,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p2_found, p2_budget, p5_found, p5_reasons, p7_ids, p8_containers, p9_statistics, p9_found,
+        p2_found, p2_budget, p4_pieces, p4_found, p5_found, p5_reasons, p7_ids, p8_containers, p9_statistics, p9_found,
     )
 }
 ORACLE: dict[str, str] = {}
