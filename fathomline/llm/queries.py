@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import packing, provenance, quality, splitting, tokens
+from fathomline.llm import ann, packing, provenance, quality, splitting, tokens
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -17,6 +17,7 @@ BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 CAPACITY = 2048
 #: Bytes of an item's largest piece, and bytes that neighbours share.
 MOST_BYTES, OVERLAP_BYTES = 8192, 256
+DIMENSION, NEIGHBOURS, SIMILAR = 64, 5, 0.85
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -63,6 +64,19 @@ def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     return not_hand_written(spark, d)
 
 
+def nearest(spark: SparkSession, d: str) -> DataFrame:
+    probes = table(spark, d, "query_log").select(F.col("query_id").alias("id"), F.col("embedding").alias("data"))
+    return ann.nearest(table(spark, d, "vectors").select("id", "data"), probes, DIMENSION, NEIGHBOURS, SIMILAR)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return ann.neighbour_pairs(nearest(spark, d))
+
+
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(spark, d)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), BYTE_BPE)
 
@@ -81,7 +95,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p2_found, p2_budget, p4_pieces, p4_found, p5_found, p5_reasons, p7_ids, p8_containers, p9_statistics, p9_found,
+        p2_found, p2_budget, p4_pieces, p4_found, p5_found, p5_reasons, p6_found, p6_nearest, p7_ids, p8_containers, p9_statistics, p9_found,
     )
 }
 ORACLE: dict[str, str] = {}
