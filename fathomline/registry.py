@@ -6,5 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from fathomline.operators import worklist
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL if SQL can express it over whole tables."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Paths as in the tables: repeated rewriting of `//`, `/./`, `./` at the start and `name/../`.
+_SQL_PATH = "regexp_replace(regexp_replace(regexp_replace(filepath, '(^|/)(\\./)+', '\\1', 'g'), '/+', '/', 'g'), '[^/]+/\\.\\./', '', 'g')"
+_SQL_HASH = "nullif(regexp_extract(lower(trim(hash)), '^(?:sha256:)?([0-9a-f]{64})$', 1), '')"
+_SQL_WORK = f"""
+with scans as (
+  select {_SQL_PATH} as path, {_SQL_HASH} as h, outcome, seen_at, loaded_at, scan_id from scan_log),
+latest as (
+  select path, h, outcome, row_number() over (partition by path order by seen_at desc, loaded_at desc, scan_id desc) as r
+  from scans where outcome = 'gone' or (outcome = 'ok' and h is not null)),
+written as (
+  select {_SQL_PATH} as path, {_SQL_HASH} as h, l.run_id, written_at
+  from ledger l where l.run_id in (select run_id from sync_runs where status = 'ok')),
+known as (
+  select path, h, run_id, row_number() over (partition by path order by run_id desc, written_at desc, h desc) as r from written where h is not null)
+select l.path as filepath, l.h as hash, case when k.h = l.h then 'done' else 'pending' end as state, k.run_id as token
+from latest l left join known k on k.path = l.path and k.r = 1 where l.r = 1 and l.outcome = 'ok'"""
+
+
+@query(_SQL_WORK)
+def p3_work_items(spark: SparkSession, d: str) -> DataFrame:
+    return worklist.work_items(table(spark, d, "scan_log"), table(spark, d, "ledger"), table(spark, d, "sync_runs"))
+
+
+@query(f"select filepath, hash from ({_SQL_WORK}) where state <> 'done'")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_work_items(spark, d).where("state <> 'done'").select("filepath", "hash")
