@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import ann, packing, provenance, quality, splitting, tokens
+from fathomline.llm import ann, clusters, packing, provenance, quality, splitting, tokens
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -24,6 +24,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "vectors").select("id", "data")
+    nodes, assignment = clusters.clusters(vectors, DIMENSION, SIMILAR)
+    return clusters.isolated_cliques(nodes, assignment, vectors, DIMENSION)
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_summary(*clusters.clusters(table(spark, d, "vectors").select("id", "data"), DIMENSION, SIMILAR))
+
+
 def slices(spark: SparkSession, d: str) -> DataFrame:
     return tokens.document_slices(table(spark, d, "documents"), table(spark, d, "embed_sources"), table(spark, d, "lang_names"), BYTE_BPE)
 
@@ -95,7 +105,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p2_found, p2_budget, p4_pieces, p4_found, p5_found, p5_reasons, p6_found, p6_nearest, p7_ids, p8_containers, p9_statistics, p9_found,
+        p1_found, p1_clusters, p2_found, p2_budget, p4_pieces, p4_found, p5_found, p5_reasons, p6_found, p6_nearest, p7_ids, p8_containers, p9_statistics, p9_found,
     )
 }
 ORACLE: dict[str, str] = {}
