@@ -174,7 +174,7 @@ class PieceStream:
         return self.v.merge(held)
 
 
-class _Remembered:
+class Remembered:
     """A function of strings that keeps its values of short strings, in a table that is emptied when it is full."""
 
     def __init__(self, make) -> None:
@@ -209,8 +209,8 @@ class Chunks:
 
     def __init__(self, piece, add, long_piece) -> None:
         self.long_piece = long_piece
-        self.pieces = _Remembered(piece)
-        self.chunks = _Remembered(lambda c: add(self.pieces.all(PIECE.findall(c))))
+        self.pieces = Remembered(piece)
+        self.chunks = Remembered(lambda c: add(self.pieces.all(PIECE.findall(c))))
 
     def values(self, text: str) -> Iterable:
         """Values of the text's parts, from left to right."""
