@@ -24,15 +24,15 @@ from pyspark.sql.window import Window
 from fathomline.session import bounded_batches
 
 #: Vectors of a list on average, before those on borders are added; at most MOST_CENTROIDS lists, later lists grow.
-LIST_SIZE, MOST_CENTROIDS = 2048, 4096
+LIST_SIZE, MOST_CENTROIDS = 4096, 4096
 #: Vectors that the centroids are fitted on, for each list. Documented bound: MOST_CENTROIDS * SAMPLE_PER_LIST vectors.
 SAMPLE_PER_LIST = 64
 #: A list may hold so many times the average of the sample before it is split.
 CROWDED = 1.6
 #: Lists of a vector at most, and the largest ratio of distances to the nearest centroid.
-MOST_LISTS, RATIO = 3, 1.07
+MOST_LISTS, RATIO = 3, 1.06
 #: Rows of a matrix block; a list of more than DIVIDE rows is divided inside its task.
-BLOCK, DIVIDE = 1024, 12288
+BLOCK, DIVIDE = 1024, 20480
 #: Candidates nearer to the threshold than this in single precision are computed again in double precision.
 SLACK = 1e-4
 #: Neighbours of a node in the centroid graph, nodes that a search expands.

@@ -65,7 +65,20 @@ def merge_rounds(sums: np.ndarray, counts: np.ndarray, ids: np.ndarray, a: np.nd
     return label
 
 
-CLUSTER = "rep bigint, cluster_id bigint, typicality double"
+CLUSTER = "rep bigint, cluster_id bigint, typicality double, clique boolean"
+
+
+def _cliques(x: np.ndarray, label: np.ndarray, threshold: float) -> np.ndarray:
+    """For each node whether every two members of its cluster are similar, by all pairs within clusters, in blocks."""
+    out = np.ones(len(x), bool)
+    order = np.argsort(label, kind="stable")
+    starts = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
+    for a, b in zip(starts, np.append(starts[1:], len(order))):
+        rows = order[a:b]
+        if len(rows) > 1:
+            m = x[rows]
+            out[rows] = all((np.round(m[i : i + 512] @ m.T, 6) >= threshold).all() for i in range(0, len(m), 512))
+    return out
 
 
 def _cluster_task(threshold: float, dim: int):
@@ -95,18 +108,25 @@ def _cluster_task(threshold: float, dim: int):
         np.add.at(sums, label, x * weight[:, None])
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         typical = np.einsum("ij,ij->i", x, (sums / np.maximum(norm, 1e-300))[label])
-        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(least[label]), pa.array(typical)], ["rep", "cluster_id", "typicality"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rep), pa.array(least[label]), pa.array(typical), pa.array(_cliques(x, label, threshold))], ["rep", "cluster_id", "typicality", "clique"]
+        )
 
     return run
 
 
-def _labels(nodes: DataFrame) -> DataFrame:
-    """(rep, part): the smallest id of each node's connected part. The first guess, the smallest id among a node and all
-    its neighbours, is right where parts are dense; else the smaller label wins along every edge, and labels of labels are
-    taken, until nothing changes."""
-    edges = nodes.select("rep", F.explode("edges").alias("to"))
-    both = cut(edges.unionByName(edges.select(F.col("to").alias("rep"), F.col("rep").alias("to"))).distinct())
-    label = nodes.select("rep", F.least("rep", "least").alias("part"))
+def _with_parts(nodes: DataFrame) -> DataFrame:
+    """nodes with part, the smallest id of each node's connected part. The first guess, the smallest id among a node and
+    all its neighbours, is right where parts are dense; it is checked along every edge, and only where it fails does the
+    smaller label win along the edges, and labels of labels are taken, until nothing changes."""
+    guess = F.least("rep", "least")
+    label = nodes.select("rep", guess.alias("part"))
+    edges = nodes.select("rep", guess.alias("part"), F.explode("edges").alias("to"))
+    other = label.select(F.col("rep").alias("to"), F.col("part").alias("other"))
+    if edges.join(other, "to").where("part <> other").isEmpty():
+        return nodes.withColumn("part", guess)
+    both = edges.select("rep", "to").unionByName(edges.select(F.col("to").alias("rep"), F.col("rep").alias("to")))
+    both = cut(both.distinct())
     while True:
         seen = both.join(label.withColumnRenamed("rep", "to").withColumnRenamed("part", "other"), "to")
         best = seen.groupBy("rep").agg(F.min("other").alias("other"))
@@ -115,7 +135,7 @@ def _labels(nodes: DataFrame) -> DataFrame:
         new = cut(new.join(jump, "lower", "left").select("rep", "part", F.least("lower", "root").alias("lower")))
         label = new.select("rep", F.col("lower").alias("part"))
         if new.where("lower < part").isEmpty():
-            return label
+            return nodes.join(label, "rep")
 
 
 def _large_rounds(nodes: DataFrame, threshold: float, dim: int) -> DataFrame:
@@ -151,10 +171,10 @@ def _large_rounds(nodes: DataFrame, threshold: float, dim: int) -> DataFrame:
     typical = F.aggregate(F.zip_with("x", "sum", lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q) / size
     out = label.join(plain, "rep").join(clusters, "c").select("rep", F.col("c").alias("cluster_id"), typical.alias("typicality"))
     least = out.groupBy("cluster_id").agg(F.min("rep").alias("least"))
-    return out.join(least, "cluster_id").select("rep", F.col("least").alias("cluster_id"), "typicality")
+    return out.join(least, "cluster_id").select("rep", F.col("least").alias("cluster_id"), "typicality", F.lit(None).cast("boolean").alias("clique"))
 
 
-def linked_nodes(vectors: DataFrame, dim: int, threshold: float) -> DataFrame:
+def linked_nodes(vectors: DataFrame, copies: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(rep, vec, weight, n, mix, least, edges) of every distinct vector that has a neighbour or copies, materialised:
     weight its number of ids; n, mix, least: number, hash and smallest id of all its neighbours; edges: the sparse graph."""
     rows = neighbour_rows(vectors, None, dim, threshold, EDGES, with_vectors=True)
@@ -166,14 +186,14 @@ def linked_nodes(vectors: DataFrame, dim: int, threshold: float) -> DataFrame:
     best = F.slice(F.array_sort(F.transform("best", lambda e: F.struct((-e["sim"]).alias("d"), e["id"].alias("id")))), 1, EDGES)
     edges = F.array_distinct(F.concat(F.transform(best, lambda e: e["id"]), F.when(F.col("n") > 0, F.array("least")).otherwise(F.array().cast("array<bigint>"))))
     one = one.select("rep", "vec", "n", "mix", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("rep")).alias("least"), edges.alias("edges"))
-    weights = copies_of(vectors, 0, dim).groupBy("rep").agg(F.count("*").alias("weight"))
+    weights = copies.groupBy("rep").agg(F.count("*").alias("weight"))
     return cut(one.join(weights, "rep", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("bigint"))))
 
 
 def average_linkage(nodes: DataFrame, dim: int, threshold: float, task_nodes: int = TASK_NODES) -> DataFrame:
-    """(rep, cluster_id, typicality) of linked nodes: cluster_id is the smallest id in the cluster, typicality the cosine
-    with the cluster's mean."""
-    parts = nodes.join(_labels(nodes), "rep")
+    """(rep, cluster_id, typicality, clique) of linked nodes: cluster_id is the smallest id in the cluster, typicality the
+    cosine with the cluster's mean, clique whether all its members are similar to each other (null if no task held it)."""
+    parts = _with_parts(nodes)
     sizes = parts.groupBy("part").count()
     large = cut(sizes.where(F.col("count") > task_nodes).select("part"))
     columns = ["rep", "vec", "weight", "edges"]
@@ -185,13 +205,15 @@ def average_linkage(nodes: DataFrame, dim: int, threshold: float, task_nodes: in
     return out
 
 
-def clusters(vectors: DataFrame, dim: int = 64, threshold: float = 0.85, task_nodes: int = TASK_NODES) -> tuple[DataFrame, DataFrame]:
-    """(nodes, assignment): see linked_nodes and average_linkage; both over representatives of equal vectors.
+def clusters(vectors: DataFrame, dim: int = 64, threshold: float = 0.85, task_nodes: int = TASK_NODES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, assignment, copies): see linked_nodes, average_linkage and ann.copies_of; nodes and assignment are over
+    representatives of equal vectors.
 
     Unusable rows and repeated rows count for nothing; a vector without neighbour is its own cluster and not listed.
     """
-    nodes = linked_nodes(vectors, dim, threshold)
-    return nodes, cut(average_linkage(nodes, dim, threshold, task_nodes))
+    copies = cut(copies_of(vectors, 0, dim).select("id", "rep"))
+    nodes = linked_nodes(vectors, copies, dim, threshold)
+    return nodes, cut(average_linkage(nodes, dim, threshold, task_nodes)), copies
 
 
 def cluster_summary(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -207,10 +229,11 @@ def cluster_summary(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
     return sizes.where("size > 1").join(best, "cluster_id").select("cluster_id", "size", F.transform("t", lambda e: e["id"]).alias("typical"))
 
 
-def isolated_cliques(nodes: DataFrame, assignment: DataFrame, vectors: DataFrame, dim: int, least_ids: int = 3) -> DataFrame:
+def isolated_cliques(nodes: DataFrame, assignment: DataFrame, copies: DataFrame, least_ids: int = 3) -> DataFrame:
     """(cluster_id, id), cluster_id < id: clusters of at least `least_ids` ids whose members are all similar to each other
-    and to no one else. The check is exact on all neighbours, not on the sparse graph: a cluster of m representatives
-    passes if each of them has m - 1 neighbours and the hashes of all closed neighbourhoods equal that of the cluster."""
+    and to no one else. That they are similar to each other was checked on all pairs. No one else is: each of the m
+    representatives has at most m - 1 neighbours among all vectors, and where it has so many, the hash of its closed
+    neighbourhood is that of the cluster. For clusters too large for a task the hashes decide both."""
     @F.pandas_udf("bigint")
     def mix(rep: pd.Series) -> pd.Series:
         return pd.Series(_mix(rep.to_numpy()))
@@ -219,9 +242,11 @@ def isolated_cliques(nodes: DataFrame, assignment: DataFrame, vectors: DataFrame
     closed = F.col("mix").bitwiseXOR(F.col("own"))
     groups = rows.groupBy("cluster_id").agg(
         F.count("*").alias("m"), F.sum("weight").alias("ids"), F.min("n").alias("n0"), F.max("n").alias("n1"),
-        F.expr("bit_xor(own)").alias("whole"), F.min(closed).alias("c0"), F.max(closed).alias("c1"),
+        F.expr("bit_xor(own)").alias("whole"), F.min("clique").alias("clique"),
     )
-    good = groups.where(F.col("ids") >= least_ids).where("n0 = m - 1 and n1 = m - 1 and c0 = whole and c1 = whole").select("cluster_id")
+    groups = groups.where(F.col("ids") >= least_ids).where("n1 <= m - 1 and (clique or (clique is null and n0 = m - 1))")
+    full = rows.select("cluster_id", "n", closed.alias("closed")).join(groups.select("cluster_id", "m", "whole"), "cluster_id")
+    bad = full.where("n = m - 1 and closed <> whole").select("cluster_id").distinct()
+    good = groups.join(bad, "cluster_id", "left_anti").select("cluster_id")
     members = assignment.join(good, "cluster_id", "left_semi").select("cluster_id", "rep")
-    ids = copies_of(vectors, 0, dim).select("id", "rep")
-    return members.join(ids, "rep", "left").select("cluster_id", F.coalesce("id", "rep").alias("id")).where("id > cluster_id")
+    return members.join(copies, "rep", "left").select("cluster_id", F.coalesce("id", "rep").alias("id")).where("id > cluster_id")

@@ -25,13 +25,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "vectors").select("id", "data")
-    nodes, assignment = clusters.clusters(vectors, DIMENSION, SIMILAR)
-    return clusters.isolated_cliques(nodes, assignment, vectors, DIMENSION)
+    return clusters.isolated_cliques(*clusters.clusters(table(spark, d, "vectors").select("id", "data"), DIMENSION, SIMILAR))
 
 
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.cluster_summary(*clusters.clusters(table(spark, d, "vectors").select("id", "data"), DIMENSION, SIMILAR))
+    nodes, assignment, _ = clusters.clusters(table(spark, d, "vectors").select("id", "data"), DIMENSION, SIMILAR)
+    return clusters.cluster_summary(nodes, assignment)
 
 
 def slices(spark: SparkSession, d: str) -> DataFrame:
