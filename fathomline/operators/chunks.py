@@ -90,8 +90,8 @@ def split_separator(docs: DataFrame, separator: str, text: str = "text") -> Data
     return _split_in_python(docs, text, lambda t: separator_spans(t, separator))
 
 
-_RUST = re.compile(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+\w+")
-_SCRIPT = re.compile(r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*\w*\s*\(")
+_RUST = re.compile(r"(?m)(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+\w+")
+_SCRIPT = re.compile(r"(?m)(?:^|(?<=[{};]))[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b\s*\*?\s*\w*\s*\(")
 _PYTHON = re.compile(r"(?m)^([ \t]*)(?:async[ \t]+)?def[ \t]+\w+")
 _SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\\n]|\\.)'|`(?:[^`\\]|\\.)*`|[{};]", re.S)
 

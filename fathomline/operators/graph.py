@@ -90,15 +90,17 @@ def last_layer(edges: DataFrame) -> DataFrame:
 
 
 def graph_search(
-    queries: DataFrame, vectors: DataFrame, members: DataFrame, edges: DataFrame, k: int, beam: int = 32, hops: int = 12,
+    queries: DataFrame, vectors: DataFrame, members: DataFrame, edges: DataFrame, k: int, beam: int = 32, hops: int = 12, upper_hops: int = 2,
     query_id: str = "qid", id_col: str = "id", data_col: str = "data", predicate: Column | None = None,
 ) -> DataFrame:
     """(qid, id, distance): layer by layer, each query's frontier moves along the links; the `beam` best nodes seen are
     kept and seed the next layer. A hop is a join with the links and one with the vectors, for all queries at once; the
     state, at most `beam` rows of a query, is cut off its lineage each hop. Nodes that fail the predicate aren't entered.
-    The search of a layer ends when no query finds a better node, after `hops` hops at most."""
+    The search of a layer ends when no query finds a better node, after `hops` hops at most in the last layer and
+    `upper_hops` in the others, which only serve to come near."""
     v = vectors.select(F.col(id_col).alias("id"), F.col(data_col).alias("data"), (predicate if predicate is not None else F.lit(True)).alias("ok")).where("ok").drop("ok")
     q = queries.select(F.col(query_id).alias("qid"), F.col(data_col).alias("q"))
+    members, edges = cut(members), cut(edges)  # every hop reads them; a plan of links must not be run again each time
     layers = [r["layer"] for r in edges.select("layer").distinct().orderBy("layer").collect()]
     score = lambda df: df.join(v, "id").join(q, "qid").select("qid", "id", distance(F.col("q"), F.col("data")).alias("distance"))
     best = Window.partitionBy("qid").orderBy("distance", "id")
@@ -109,12 +111,12 @@ def graph_search(
         seen = entry if state is None else state.select("qid", "id", "distance").unionByName(entry).dropDuplicates(["qid", "id"])
         seen = cut(seen.withColumn("open", F.lit(True)))
         links = edges.where(F.col("layer") == layer).select(F.col("src").alias("id"), F.col("dst"))
-        for _ in range(hops):
+        for _ in range(hops if layer == layers[-1] else upper_hops):
             found = seen.where("open").join(links, "id").select("qid", F.col("dst").alias("id")).distinct()
             fresh = score(found.join(seen.select("qid", "id"), ["qid", "id"], "left_anti")).withColumn("open", F.lit(True))
             ranked = seen.withColumn("open", F.lit(False)).unionByName(fresh).withColumn("r", F.row_number().over(best))
             seen = cut(ranked.where(F.col("r") <= beam).drop("r"))
-            if seen.where("open").isEmpty():
+            if layer == layers[-1] and seen.where("open").isEmpty():
                 break
         state = seen
     out = state.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)

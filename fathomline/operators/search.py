@@ -78,7 +78,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "qid", i
         if len(dims) > 1:
             raise ValueError("queries of different dimensions")
         ids = local["q"].to_numpy()
-        sent = sc.broadcast((ids, np.array(local["d"].to_pylist(), np.float64).reshape(len(ids), -1)))
+        sent = sc.broadcast((ids, np.array(local["d"].to_pylist(), np.float64).reshape(len(ids), dims.pop() if dims else 0)))
         found = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(data_col).alias("d")).mapInArrow(
             _knn_task(sent, k, exclude_self), "qid bigint, id bigint, distance double"
         )

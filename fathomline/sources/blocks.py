@@ -13,6 +13,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -136,16 +137,16 @@ def write_blocks(vectors: DataFrame, folder: str) -> None:
     """A file for each block, written where its rows are; a file of the same name is replaced as a whole."""
     os.makedirs(folder, exist_ok=True)
 
-    def write(pdf):
-        block = int(pdf["block"].iloc[0])
-        rows = pdf.sort_values("id").to_dict("records")
+    def write(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["id"])
+        block = rows[0]["block"]
         temporary = os.path.join(folder, f".{block}.{os.getpid()}")
         with open(temporary, "wb") as f:
             f.write(encode_block(block, rows))
         os.replace(temporary, os.path.join(folder, str(block)))
-        return pdf[["block"]].iloc[:1]
+        return table.select(["block"]).slice(0, 1)
 
-    vectors.groupBy("block").applyInPandas(write, "block bigint").count()
+    vectors.select(*[c.split()[0] for c in ("id", "filepath", "meta", "subset", "block", "data")]).groupBy("block").applyInArrow(write, "block bigint").count()
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
