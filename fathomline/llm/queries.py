@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import ann, clusters, packing, provenance, quality, splitting, tokens
+from fathomline.llm.oracle import ORACLE as ORACLE
 
 #: Where the public tokenizers' files lie; a parameter of the operators.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -107,4 +108,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p1_found, p1_clusters, p2_found, p2_budget, p4_pieces, p4_found, p5_found, p5_reasons, p6_found, p6_nearest, p7_ids, p8_containers, p9_statistics, p9_found,
     )
 }
-ORACLE: dict[str, str] = {}
