@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions.vectors import distance
 from fathomline.operators.search import knn
-from fathomline.session import cut
+from fathomline.session import cut, settle
 
 
 def layer_parameters(n: int) -> tuple[int, list[float]]:
@@ -109,13 +109,13 @@ def graph_search(
         start = members.where(F.col("layer") == layer).join(v.select("id"), "id", "left_semi").agg(F.min("id").alias("id")).where("id is not null")
         entry = score(q.select("qid").join(F.broadcast(start), F.lit(True)))  # one node
         seen = entry if state is None else state.select("qid", "id", "distance").unionByName(entry).dropDuplicates(["qid", "id"])
-        seen = cut(seen.withColumn("open", F.lit(True)))
+        seen = settle(seen.withColumn("open", F.lit(True)))
         links = edges.where(F.col("layer") == layer).select(F.col("src").alias("id"), F.col("dst"))
         for _ in range(hops if layer == layers[-1] else upper_hops):
             found = seen.where("open").join(links, "id").select("qid", F.col("dst").alias("id")).distinct()
             fresh = score(found.join(seen.select("qid", "id"), ["qid", "id"], "left_anti")).withColumn("open", F.lit(True))
             ranked = seen.withColumn("open", F.lit(False)).unionByName(fresh).withColumn("r", F.row_number().over(best))
-            seen = cut(ranked.where(F.col("r") <= beam).drop("r"))
+            seen = settle(ranked.where(F.col("r") <= beam).drop("r"))
             if layer == layers[-1] and seen.where("open").isEmpty():
                 break
         state = seen

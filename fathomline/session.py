@@ -51,3 +51,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors share: below spark.checkpoint.dir, or below a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomline-")
     return f"{root.rstrip('/')}/fathomline-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df as a table written in the shared folder. For what loops carry from round to round: unlike a checkpoint, a table
+    that is read again brings none of the constraints of the plan that made it, which grow with every round."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
