@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathomline.llm.ann import _mix, _unpack, copies_of, neighbour_rows, unit
-from fathomline.session import cut
+from fathomline.session import cut, settle
 
 #: Edges of a vector to its most similar ones.
 EDGES = 8
@@ -126,13 +126,13 @@ def _with_parts(nodes: DataFrame) -> DataFrame:
     if edges.join(other, "to").where("part <> other").isEmpty():
         return nodes.withColumn("part", guess)
     both = edges.select("rep", "to").unionByName(edges.select(F.col("to").alias("rep"), F.col("rep").alias("to")))
-    both = cut(both.distinct())
+    both = settle(both.distinct())
     while True:
         seen = both.join(label.withColumnRenamed("rep", "to").withColumnRenamed("part", "other"), "to")
         best = seen.groupBy("rep").agg(F.min("other").alias("other"))
         new = label.join(best, "rep", "left").select("rep", "part", F.least("part", "other").alias("lower"))
         jump = new.select(F.col("rep").alias("lower"), F.col("lower").alias("root"))
-        new = cut(new.join(jump, "lower", "left").select("rep", "part", F.least("lower", "root").alias("lower")))
+        new = settle(new.join(jump, "lower", "left").select("rep", "part", F.least("lower", "root").alias("lower")))
         label = new.select("rep", F.col("lower").alias("part"))
         if new.where("lower < part").isEmpty():
             return nodes.join(label, "rep")
@@ -148,7 +148,7 @@ def _large_rounds(nodes: DataFrame, threshold: float, dim: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], ["rep", "x", "weight"])
 
-    plain = cut(nodes.select("rep", "vec", "weight").mapInArrow(floats, "rep bigint, x array<double>, weight bigint"))
+    plain = settle(nodes.select("rep", "vec", "weight").mapInArrow(floats, "rep bigint, x array<double>, weight bigint"))
     clusters = plain.select(F.col("rep").alias("c"), F.array(*[e for e in element]).alias("sum"), F.col("weight").cast("double").alias("count"))
     label = plain.select("rep", F.col("rep").alias("c"))
     edges = nodes.select(F.col("rep").alias("a"), F.explode("edges").alias("b"))
@@ -157,16 +157,16 @@ def _large_rounds(nodes: DataFrame, threshold: float, dim: int) -> DataFrame:
     while True:
         side = lambda k: clusters.select(F.col("c").alias(k), F.col("sum").alias(f"sum_{k}"), F.col("count").alias(f"count_{k}"))
         scored = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", (product / (F.col("count_a") * F.col("count_b"))).alias("s"))
-        best = cut(scored.where(F.col("s") >= threshold).groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b")))
-        mutual = cut(best.alias("p").join(best.alias("q"), (F.col("p.b") == F.col("q.a")) & (F.col("q.b") == F.col("p.a"))).where("p.a < p.b").selectExpr("p.b as gone", "p.a as keep"))
+        best = settle(scored.where(F.col("s") >= threshold).groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b")))
+        mutual = settle(best.alias("p").join(best.alias("q"), (F.col("p.b") == F.col("q.a")) & (F.col("q.b") == F.col("p.a"))).where("p.a < p.b").selectExpr("p.b as gone", "p.a as keep"))
         if mutual.isEmpty():
             break
         to = lambda df, k: df.join(mutual.withColumnRenamed("gone", k), k, "left").withColumn(k, F.coalesce("keep", k)).drop("keep")
         merged = to(clusters, "c")
         sums = [F.sum(F.col("sum")[i]).alias(f"s{i}") for i in range(dim)]
-        clusters = cut(merged.groupBy("c").agg(F.sum("count").alias("count"), *sums).select("c", F.array(*[f"s{i}" for i in range(dim)]).alias("sum"), "count"))
-        label = cut(to(label, "c"))
-        edges = cut(to(to(edges, "a"), "b").where("a <> b").select("a", "b").distinct())
+        clusters = settle(merged.groupBy("c").agg(F.sum("count").alias("count"), *sums).select("c", F.array(*[f"s{i}" for i in range(dim)]).alias("sum"), "count"))
+        label = settle(to(label, "c"))
+        edges = settle(to(to(edges, "a"), "b").where("a <> b").select("a", "b").distinct())
     size = F.sqrt(F.aggregate(F.transform("sum", lambda v: v * v), F.lit(0.0), lambda p, q: p + q))
     typical = F.aggregate(F.zip_with("x", "sum", lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q) / size
     out = label.join(plain, "rep").join(clusters, "c").select("rep", F.col("c").alias("cluster_id"), typical.alias("typicality"))
