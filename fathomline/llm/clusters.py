@@ -28,6 +28,8 @@ from fathomline.session import cut, settle
 EDGES = 8
 #: Vectors that one task clusters together; a connected part of more goes through rounds of joins.
 TASK_NODES = 50_000
+#: Members of one block where a cluster larger than that is checked pair by pair.
+CHECK_ROWS = 4096
 #: Most typical members that are listed of a cluster.
 TYPICAL = 3
 
@@ -138,8 +140,59 @@ def _with_parts(nodes: DataFrame) -> DataFrame:
             return nodes.join(label, "rep")
 
 
-def _large_rounds(nodes: DataFrame, threshold: float, dim: int) -> DataFrame:
-    """The same rounds as joins, for parts that no task can hold: (rep, cluster_id, typicality)."""
+def _pack(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """df in rows of at most `rows` rows of one partition each: its columns keys (bigint) as lists, and vec as one binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                lists = [pa.array([part.column(i).to_pylist()], pa.list_(pa.int64())) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([b"".join(part.column(len(keys)).to_pylist())], pa.binary())], [*keys, "vec"])
+
+    return df.select(*keys, "vec").mapInArrow(run, ", ".join(f"{k} array<bigint>" for k in keys) + ", vec binary")
+
+
+def _not_cliques(members: DataFrame, threshold: float, dim: int, task_nodes: int) -> DataFrame:
+    """(cluster_id) of the clusters of members (rep, cluster_id, vec) with two members that aren't similar. All pairs are
+    looked at: clusters that fit a task in one, larger ones block against block, the pairs of blocks spread over tasks."""
+    sizes = members.groupBy("cluster_id").count()
+    huge = cut(sizes.where(F.col("count") > task_nodes).select("cluster_id"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            label = np.asarray(t["cluster_id"])
+            good = _cliques(unit(_unpack(t["vec"].combine_chunks(), dim)), label, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(label[~good]))], ["cluster_id"])
+
+    tasks = max(1, -(-members.count() // task_nodes) * 2)
+    bad = members.join(huge, "cluster_id", "left_anti").select("cluster_id", "vec").repartition(tasks, "cluster_id").mapInArrow(whole, "cluster_id bigint")
+    if huge.isEmpty():
+        return bad
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for la, va, lb, vb in zip(*(c.to_pylist() for c in batch.columns)):
+                la, lb = np.array(la), np.array(lb)
+                xa, xb = (unit(np.frombuffer(v, np.float32).reshape(-1, dim).astype(np.float64)) for v in (va, vb))
+                for c in np.intersect1d(la, lb):
+                    a, b = xa[la == c], xb[lb == c]
+                    if not all((np.round(a[i : i + 512] @ b.T, 6) >= threshold).all() for i in range(0, len(a), 512)):
+                        found.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(found, np.int64)))], ["cluster_id"])
+
+    # A cartesian product: an equal cluster_id as join key would bring all pairs of a cluster to one task.
+    blocks = settle(_pack(members.join(huge, "cluster_id", "left_semi"), ["cluster_id"], CHECK_ROWS).withColumn("block", F.monotonically_increasing_id()))
+    side = lambda k: blocks.select(F.col("block").alias(f"block_{k}"), F.col("cluster_id").alias(f"c_{k}"), F.col("vec").alias(f"vec_{k}"))
+    met = side("a").crossJoin(side("b")).where(F.col("block_a") <= F.col("block_b")).where(F.arrays_overlap("c_a", "c_b"))
+    return bad.unionByName(met.select("c_a", "vec_a", "c_b", "vec_b").mapInArrow(pairs, "cluster_id bigint")).distinct()
+
+
+def _large_rounds(nodes: DataFrame, threshold: float, dim: int, task_nodes: int) -> DataFrame:
+    """The same rounds as joins, for parts that no task can hold: (rep, cluster_id, typicality, clique)."""
     element = [(F.col("x")[i] * F.col("weight")).alias(f"s{i}") for i in range(dim)]
 
     def floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +224,9 @@ def _large_rounds(nodes: DataFrame, threshold: float, dim: int) -> DataFrame:
     typical = F.aggregate(F.zip_with("x", "sum", lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q) / size
     out = label.join(plain, "rep").join(clusters, "c").select("rep", F.col("c").alias("cluster_id"), typical.alias("typicality"))
     least = out.groupBy("cluster_id").agg(F.min("rep").alias("least"))
-    return out.join(least, "cluster_id").select("rep", F.col("least").alias("cluster_id"), "typicality", F.lit(None).cast("boolean").alias("clique"))
+    out = settle(out.join(least, "cluster_id").select("rep", F.col("least").alias("cluster_id"), "typicality"))
+    bad = _not_cliques(out.join(nodes.select("rep", "vec"), "rep"), threshold, dim, task_nodes).withColumn("bad", F.lit(True))
+    return out.join(bad, "cluster_id", "left").select("rep", "cluster_id", "typicality", F.col("bad").isNull().alias("clique"))
 
 
 def linked_nodes(vectors: DataFrame, copies: DataFrame, dim: int, threshold: float) -> DataFrame:
@@ -192,7 +247,7 @@ def linked_nodes(vectors: DataFrame, copies: DataFrame, dim: int, threshold: flo
 
 def average_linkage(nodes: DataFrame, dim: int, threshold: float, task_nodes: int = TASK_NODES) -> DataFrame:
     """(rep, cluster_id, typicality, clique) of linked nodes: cluster_id is the smallest id in the cluster, typicality the
-    cosine with the cluster's mean, clique whether all its members are similar to each other (null if no task held it)."""
+    cosine with the cluster's mean, clique whether all its members are similar to each other."""
     parts = _with_parts(nodes)
     sizes = parts.groupBy("part").count()
     large = cut(sizes.where(F.col("count") > task_nodes).select("part"))
@@ -201,7 +256,7 @@ def average_linkage(nodes: DataFrame, dim: int, threshold: float, task_nodes: in
     small = parts.join(large, "part", "left_anti").select("part", *columns).repartition(tasks, "part").select(*columns)
     out = small.mapInArrow(_cluster_task(threshold, dim), CLUSTER)
     if not large.isEmpty():
-        out = out.unionByName(_large_rounds(parts.join(large, "part", "left_semi").select(*columns), threshold, dim))
+        out = out.unionByName(_large_rounds(parts.join(large, "part", "left_semi").select(*columns), threshold, dim, task_nodes))
     return out
 
 
@@ -233,7 +288,7 @@ def isolated_cliques(nodes: DataFrame, assignment: DataFrame, copies: DataFrame,
     """(cluster_id, id), cluster_id < id: clusters of at least `least_ids` ids whose members are all similar to each other
     and to no one else. That they are similar to each other was checked on all pairs. No one else is: each of the m
     representatives has at most m - 1 neighbours among all vectors, and where it has so many, the hash of its closed
-    neighbourhood is that of the cluster. For clusters too large for a task the hashes decide both."""
+    neighbourhood is that of the cluster."""
     @F.pandas_udf("bigint")
     def mix(rep: pd.Series) -> pd.Series:
         return pd.Series(_mix(rep.to_numpy()))
@@ -241,10 +296,10 @@ def isolated_cliques(nodes: DataFrame, assignment: DataFrame, copies: DataFrame,
     rows = assignment.join(nodes.select("rep", "weight", "n", "mix"), "rep").withColumn("own", mix("rep"))
     closed = F.col("mix").bitwiseXOR(F.col("own"))
     groups = rows.groupBy("cluster_id").agg(
-        F.count("*").alias("m"), F.sum("weight").alias("ids"), F.min("n").alias("n0"), F.max("n").alias("n1"),
+        F.count("*").alias("m"), F.sum("weight").alias("ids"), F.max("n").alias("n1"),
         F.expr("bit_xor(own)").alias("whole"), F.min("clique").alias("clique"),
     )
-    groups = groups.where(F.col("ids") >= least_ids).where("n1 <= m - 1 and (clique or (clique is null and n0 = m - 1))")
+    groups = groups.where(F.col("ids") >= least_ids).where("n1 <= m - 1 and clique")
     full = rows.select("cluster_id", "n", closed.alias("closed")).join(groups.select("cluster_id", "m", "whole"), "cluster_id")
     bad = full.where("n = m - 1 and closed <> whole").select("cluster_id").distinct()
     good = groups.join(bad, "cluster_id", "left_anti").select("cluster_id")

@@ -127,3 +127,27 @@ def test_clusters(spark, task_nodes):
     assert got == want and len(want) > 150 and not any(c in (175, 176, 177) for c, _ in got)
     summary = {r["cluster_id"]: (r["size"], r["typical"]) for r in clusters.cluster_summary(nodes, assignment).collect()}
     assert summary[0][0] == 47 and all(1 <= len(t) <= 3 for _, t in summary.values())
+
+
+@pytest.mark.parametrize("task_nodes", [50_000, 30])
+def test_a_pair_that_no_list_shares_loses_no_clique(spark, monkeypatch, task_nodes):
+    monkeypatch.setattr(ann, "LIST_SIZE", 20)  # near copies that many lists divide
+    monkeypatch.setattr(ann, "RATIO", 1.02)
+    monkeypatch.setattr(clusters, "CHECK_ROWS", 16, raising=False)
+    x = groups(1, 120, 0.22, 5)
+    assert (similarities(x, x) >= 0.85).all()
+    nodes, assignment, copies = clusters.clusters(frame(spark, x), DIM, 0.85, task_nodes)
+    assert nodes.agg(F.min("n")).first()[0] < len(x) - 1  # the lists did miss pairs
+    assert {(r["cluster_id"], r["id"]) for r in clusters.isolated_cliques(nodes, assignment, copies).collect()} == {(0, i) for i in range(1, len(x))}
+
+
+@pytest.mark.parametrize("task_nodes", [1000, 40])
+def test_not_cliques(spark, monkeypatch, task_nodes):
+    monkeypatch.setattr(clusters, "CHECK_ROWS", 16)
+    x = groups(3, 50, 0.2, 3)
+    x[100] = x[100] * 0.8 + np.roll(x[100], 1) * 0.6  # one member of the last group strays
+    s = similarities(x, x)
+    want = {k for k in range(3) if not (s[k * 50 : k * 50 + 50, k * 50 : k * 50 + 50] >= 0.85).all()}
+    rows = [(i, i // 50, bytearray(v.tobytes())) for i, v in enumerate(x)]
+    members = spark.createDataFrame(rows, "rep bigint, cluster_id bigint, vec binary")
+    assert {r[0] for r in clusters._not_cliques(members, 0.85, DIM, task_nodes).collect()} == want == {2}
