@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.llm.ann import _mix, _unpack, copies_of, neighbour_rows, unit
+from fathomline.llm.ann import _mix, _unpack, copies_of, neighbour_rows, packed_vectors, unit
 from fathomline.session import cut, settle
 
 #: Edges of a vector to its most similar ones.
@@ -284,11 +284,102 @@ def cluster_summary(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
     return sizes.where("size > 1").join(best, "cluster_id").select("cluster_id", "size", F.transform("t", lambda e: e["id"]).alias("typical"))
 
 
-def isolated_cliques(nodes: DataFrame, assignment: DataFrame, copies: DataFrame, least_ids: int = 3) -> DataFrame:
+def _balls(members: DataFrame, dim: int, task_nodes: int) -> DataFrame:
+    """members (cluster_id, rep, vec) in rows of about CHECK_ROWS members of whole balls: cluster_id, rep, vec of each. A ball
+    is a cluster, or a part of one that is larger than CHECK_ROWS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        label = np.asarray(t["cluster_id"])
+        order = np.argsort(label, kind="stable")
+        label, rep, vec = label[order], np.asarray(t["rep"])[order], t["vec"].combine_chunks().take(pa.array(order))
+        starts = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+        a = 0
+        while a < len(label):
+            # The last start of a ball that is within CHECK_ROWS; a larger ball is cut.
+            ends = np.append(starts, len(label))
+            fit = ends[(ends > a) & (ends <= a + CHECK_ROWS)]
+            b = int(fit[-1]) if len(fit) else a + CHECK_ROWS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([label[a:b]]), pa.array([rep[a:b]]), pa.array([b"".join(vec.slice(a, b - a).to_pylist())], pa.binary())], ["clusters", "reps", "members"]
+            )
+            a = b
+
+    tasks = max(1, -(-members.count() // task_nodes))
+    schema = "clusters array<bigint>, reps array<bigint>, members binary"
+    return members.select("cluster_id", "rep", "vec").repartition(tasks, "cluster_id").mapInArrow(run, schema)
+
+
+def near_balls(x: np.ndarray, ids: np.ndarray, label: np.ndarray, rep: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(label, id) of the unit vectors x that are similar to a member y of a cluster and aren't members of it themselves;
+    label ascends. Exact: a vector can be similar to a member only if its angle with the members' mean is at most the
+    largest angle of a member plus that of the threshold, and where it is, it is compared with every member."""
+    starts = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+    sizes = np.diff(np.append(starts, len(label)))
+    ball = np.repeat(np.arange(len(starts)), sizes)
+    c = np.add.reduceat(y, starts, axis=0)
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+    radius = np.arccos(np.clip(np.minimum.reduceat(np.einsum("ij,ij->i", y, c[ball]), starts), -1, 1))
+    # Slack for single precision and for the rounding of similarities.
+    least = np.cos(np.minimum(np.pi, radius + np.arccos(threshold) + 1e-4)) - 1e-4
+    near = x.astype(np.float32) @ c.astype(np.float32).T >= least.astype(np.float32)
+    order = np.argsort(rep)
+    at = np.minimum(np.searchsorted(rep[order], ids), len(rep) - 1)
+    own = np.flatnonzero(rep[order][at] == ids)
+    near[own, ball[order][at[own]]] = False
+    hits = []
+    rows, balls = np.nonzero(near & (sizes <= 64))
+    for i in range(0, len(rows), 4096):
+        r, b = rows[i : i + 4096], balls[i : i + 4096]
+        n = sizes[b]
+        first = np.cumsum(n) - n
+        member = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(starts[b], n)
+        s = np.round(np.einsum("ij,ij->i", x[np.repeat(r, n)], y[member]), 6)
+        hit = np.maximum.reduceat(s, first) >= threshold
+        hits.append((r[hit], b[hit]))
+    for b in np.flatnonzero(sizes > 64):
+        r = np.flatnonzero(near[:, b])
+        m = y[starts[b] : starts[b] + sizes[b]]
+        for i in range(0, len(r), 512):
+            hit = (np.round(x[r[i : i + 512]] @ m.T, 6) >= threshold).any(1)
+            hits.append((r[i : i + 512][hit], np.full(hit.sum(), b)))
+    rows, balls = (np.concatenate(v) for v in zip(*hits)) if hits else (np.empty(0, np.int64),) * 2
+    return label[starts[balls]], ids[rows]
+
+
+def _not_isolated(vectors: DataFrame, members: DataFrame, assignment: DataFrame, copies: DataFrame, threshold: float, dim: int, task_nodes: int) -> DataFrame:
+    """(cluster_id) of the clusters of members (cluster_id, rep, vec) that any of vectors outside is similar to. Every
+    vector is looked at with every cluster's mean, and with the members where that doesn't rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, vecs, label, reps, held in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = (unit(np.frombuffer(v, np.float32).reshape(-1, dim).astype(np.float64)) for v in (vecs, held))
+                c, i = near_balls(x, np.array(ids), np.array(label), np.array(reps), y, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.int64())], ["cluster_id", "id"])
+
+    all_ = _pack(packed_vectors(vectors, "id", "data", dim), ["id"], CHECK_ROWS)
+    balls = settle(_balls(members, dim, task_nodes))
+    balls = balls.coalesce(max(1, -(-members.count() // (10 * task_nodes))))
+    hits = all_.crossJoin(balls).mapInArrow(run, "cluster_id bigint, id bigint").distinct()
+    # Copies of members, and members in another part of a large cluster, are inside.
+    found = hits.join(copies, "id", "left").select("cluster_id", F.coalesce("rep", "id").alias("rep"))
+    inside = assignment.select("rep", F.col("cluster_id").alias("its"))
+    return found.join(inside, "rep", "left").where("its is null or its <> cluster_id").select("cluster_id").distinct()
+
+
+def isolated_cliques(
+    nodes: DataFrame, assignment: DataFrame, copies: DataFrame, least_ids: int = 3, vectors: DataFrame | None = None,
+    dim: int = 64, threshold: float = 0.85, task_nodes: int = TASK_NODES,
+) -> DataFrame:
     """(cluster_id, id), cluster_id < id: clusters of at least `least_ids` ids whose members are all similar to each other
-    and to no one else. That they are similar to each other was checked on all pairs. No one else is: each of the m
-    representatives has at most m - 1 neighbours among all vectors, and where it has so many, the hash of its closed
-    neighbourhood is that of the cluster."""
+    and to no one else. That they are similar to each other was checked on all pairs. Found neighbours rule out clusters
+    with one outside: each of the m representatives has at most m - 1 neighbours, and where it has so many, the hash of its
+    closed neighbourhood is that of the cluster. With `vectors`, those that clusters() got, what is left is compared with
+    all of them, so a neighbour that the search missed counts as well; without, only found neighbours do."""
     @F.pandas_udf("bigint")
     def mix(rep: pd.Series) -> pd.Series:
         return pd.Series(_mix(rep.to_numpy()))
@@ -304,4 +395,7 @@ def isolated_cliques(nodes: DataFrame, assignment: DataFrame, copies: DataFrame,
     bad = full.where("n = m - 1 and closed <> whole").select("cluster_id").distinct()
     good = groups.join(bad, "cluster_id", "left_anti").select("cluster_id")
     members = assignment.join(good, "cluster_id", "left_semi").select("cluster_id", "rep")
+    if vectors is not None:
+        members = settle(members.join(nodes.select("rep", "vec"), "rep").select("cluster_id", "rep", "vec"))
+        members = members.join(_not_isolated(vectors, members, assignment, copies, threshold, dim, task_nodes), "cluster_id", "left_anti")
     return members.join(copies, "rep", "left").select("cluster_id", F.coalesce("id", "rep").alias("id")).where("id > cluster_id")

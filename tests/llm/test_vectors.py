@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import ann, clusters
+from fathomline.llm import ann, clusters, queries
 
 DIM = 16
 
@@ -151,3 +151,21 @@ def test_not_cliques(spark, monkeypatch, task_nodes):
     rows = [(i, i // 50, bytearray(v.tobytes())) for i, v in enumerate(x)]
     members = spark.createDataFrame(rows, "rep bigint, cluster_id bigint, vec binary")
     assert {r[0] for r in clusters._not_cliques(members, 0.85, DIM, task_nodes).collect()} == want == {2}
+
+
+@pytest.mark.parametrize("check_rows", [4096, 7])
+def test_a_neighbour_outside_that_no_list_shares_ends_isolation(spark, monkeypatch, tmp_path, check_rows):
+    monkeypatch.setattr(clusters, "CHECK_ROWS", check_rows, raising=False)
+    monkeypatch.setattr(queries, "DIMENSION", DIM)
+    x = groups(8, 9, 0.1, 21)
+    x = np.concatenate([x, x[:2]])  # copies of two members, inside
+    s = similarities(x, x) >= 0.85
+    outside = x[20] / np.linalg.norm(x[20]) * 0.88 + np.linalg.svd(x[18:27])[2][-1] * np.sqrt(1 - 0.88**2)  # similar to the third group
+    frame(spark, np.concatenate([x, outside[None]])).write.parquet(f"{tmp_path}/vectors.parquet")
+    search = clusters.linked_nodes
+    monkeypatch.setattr(clusters, "linked_nodes", lambda v, *rest: search(v.where(f"id <> {len(x)}"), *rest))  # the search misses it
+    got = {(r["cluster_id"], r["id"]) for r in queries.p1_found(spark, str(tmp_path)).collect()}
+    near = np.flatnonzero((similarities(outside[None], x) >= 0.85)[0])
+    assert set(near) <= set(range(18, 27)) and len(near)
+    want = {(int(h[0]), int(i)) for h in map(np.flatnonzero, s) for i in h[1:] if h[0] != 18 and i > h[0]}
+    assert got == want and len(want) > 50
