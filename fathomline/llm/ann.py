@@ -6,6 +6,10 @@ lists of a vector are found in an in-memory graph over the centroids. Two vector
 is searched as blocks of a matrix product, and one that outgrew a block is divided again by the same rule, inside its
 task. A pair that shares several lists is counted in the first of them only.
 
+Where one dense region is split over many lists, near neighbours share none. There a vector is looked for in further
+lists as a visitor, which finds the vectors whose nearest list that is and is found by no one. How many lists it visits is
+measured on the sample, list by list (`visits_needed`); where no region is split, there are no visitors.
+
 Exact copies are folded to one representative before, and unfolded after, so they can't crowd a list.
 """
 
@@ -31,6 +35,9 @@ SAMPLE_PER_LIST = 64
 CROWDED = 1.6
 #: Lists of a vector at most, and the largest ratio of distances to the nearest centroid.
 MOST_LISTS, RATIO = 3, 1.06
+#: Sample vectors of a list whose neighbours in the sample are looked up, the share of them that must have k neighbours there
+#: for the list to count as dense, and the share of these neighbours whose lists are visited.
+PROBED, DENSE, REACHED = 16, 0.25, 0.99
 #: Rows of a matrix block; a list of more than DIVIDE rows is divided inside its task.
 BLOCK, DIVIDE = 1024, 20480
 #: Candidates nearer to the threshold than this in single precision are computed again in double precision.
@@ -156,6 +163,54 @@ def posting_lists(graph: CentroidGraph, x: np.ndarray, most: int = MOST_LISTS, r
     return out
 
 
+def visits_needed(sample: np.ndarray, c: np.ndarray, threshold: float, k: int, seed: int = 0) -> np.ndarray:
+    """For each list how many lists, nearest first, its vectors must look in to reach REACHED of their k nearest neighbours
+    by those neighbours' nearest lists, measured on the sample; 0 where the list isn't dense. Neighbours in a sample are
+    farther than among all vectors, so this is rather too many than too few."""
+    s = np.ascontiguousarray(sample, np.float32)
+    near = np.concatenate([(s[a : a + 8192] @ c.T).argmax(1) for a in range(0, len(s), 8192)])
+    order = np.random.default_rng(seed).permutation(len(s))
+    order = order[np.argsort(near[order], kind="stable")]
+    first = np.searchsorted(near[order], np.arange(len(c)))
+    probed = order[np.arange(len(s)) - first[near[order]] < PROBED]
+    ranks: list[list[np.ndarray]] = [[] for _ in c]
+    for a in range(0, len(probed), 256):
+        rows = probed[a : a + 256]
+        sims = s[rows] @ s.T
+        sims[np.arange(len(rows)), rows] = -2
+        if sims.shape[1] <= k:
+            break
+        best = np.argpartition(-sims, k, axis=1)[:, :k]
+        dense = np.take_along_axis(sims, best, 1).min(1) >= threshold
+        to = s[rows] @ c.T
+        there = np.take_along_axis(to, near[best], 1)
+        for i in np.flatnonzero(dense):
+            ranks[near[rows[i]]].append((to[i][None, :] > there[i][:, None]).sum(1) + 1)
+    of = np.bincount(near[probed], minlength=len(c))
+    return np.array([int(np.ceil(np.quantile(np.concatenate(r), REACHED))) if len(r) >= max(2, DENSE * n) else 0 for r, n in zip(ranks, of)])
+
+
+def visits(c: np.ndarray, x: np.ndarray, lists: np.ndarray, near: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, lists): the lists that rows of x visit besides their own."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    split = np.flatnonzero(needed[near] > 1)
+    for a in range(0, len(split), 1024):
+        rows = split[a : a + 1024]
+        n = needed[near[rows]]
+        best = np.argsort(-(x[rows] @ c.T), axis=1, kind="stable")[:, : n.max()]
+        mine = (best[:, :, None] == lists[rows][:, None, :]).any(2)
+        i, j = np.nonzero((np.arange(best.shape[1]) < n[:, None]) & ~mine)
+        out.append((rows[i], best[i, j]))
+    rows, to = (np.concatenate(v) for v in zip(*out))
+    return rows, to
+
+
+def nearest_list(c: np.ndarray, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Of each row's lists the one whose centroid is most similar."""
+    sims = np.stack([np.where(lists[:, i] >= 0, np.einsum("ij,ij->i", x, c[lists[:, i]]), -2) for i in range(lists.shape[1])], axis=1)
+    return lists[np.arange(len(x)), sims.argmax(1)]
+
+
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest list in both rows (lists ascend, -1 is none)."""
     best = np.full(len(a), np.iinfo(np.int32).max, np.int32)
@@ -185,27 +240,44 @@ class Found:
     best: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # (row, similarity, id)
 
 
-def search_list(x: np.ndarray, ids: np.ndarray, target: np.ndarray, lists: np.ndarray, here: int, threshold: float, k: int) -> Found:
+def search_list(
+    x: np.ndarray, ids: np.ndarray, target: np.ndarray, lists: np.ndarray, here: int, threshold: float, k: int, near: np.ndarray | None = None
+) -> Found:
     """Neighbours among the rows of one list. x: unit vectors in double precision; target: which rows may be found;
-    lists: all lists of each row; pairs whose first shared list isn't `here` are left to that list."""
+    lists: all lists of each row; pairs whose first shared list isn't `here` are left to that list. near: each row's nearest
+    list; rows without `here` in their lists are visitors, see _counted."""
     n = len(x)
     found = Found(np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), [])
     x32 = x.astype(np.float32)
-    if n <= DIVIDE:
-        _search_rows(found, x, x32, ids, target, np.arange(n), lists, here, None, -1, threshold, k)
+    near = np.full(n, here) if near is None else near
+    target = target & (lists == here).any(1)
+    if target.sum() <= DIVIDE:
+        _search_rows(found, x, x32, ids, target, np.arange(n), lists, near, here, None, None, -1, threshold, k)
         return found
     rng = np.random.default_rng(here)
     parts = -(-n // LIST_SIZE)
     sample = x32 if n <= parts * SAMPLE_PER_LIST else x32[np.sort(rng.choice(n, parts * SAMPLE_PER_LIST, replace=False))]
-    sub = posting_lists(CentroidGraph(fit_centroids(sample, parts, seed=here)), x32)
+    c = fit_centroids(sample, parts, seed=here)
+    sub = posting_lists(CentroidGraph(c), x32)
+    sub_near = nearest_list(c, x32, sub)
+    visitors, to = visits(c, x32, sub, sub_near, visits_needed(sample, c, threshold, k, seed=here))
     for s in np.unique(sub[sub >= 0]):
-        rows = np.flatnonzero((sub == s).any(1))
-        _search_rows(found, x, x32, ids, target, rows, lists, here, sub, s, threshold, k)
+        rows = np.concatenate([np.flatnonzero((sub == s).any(1)), visitors[to == s]])
+        _search_rows(found, x, x32, ids, target, rows, lists, near, here, sub, sub_near, s, threshold, k)
     return found
 
 
-def _search_rows(found, x, x32, ids, target, rows, lists, here, sub, sub_here, threshold, k) -> None:
+def _counted(i: np.ndarray, j: np.ndarray, lists: np.ndarray, near: np.ndarray, here: int) -> np.ndarray:
+    """Which pairs are counted here: of rows that share lists those whose first shared list this is; of the others, where
+    row i is a visitor, those whose row j has its nearest list here."""
+    shared = _first_shared(lists[i], lists[j])
+    return (shared == here) | ((shared == np.iinfo(np.int32).max) & (near[j] == here))
+
+
+def _search_rows(found, x, x32, ids, target, rows, lists, near, here, sub, sub_near, sub_here, threshold, k) -> None:
     columns = rows[target[rows]]
+    if sub is not None:
+        columns = columns[(sub[columns] == sub_here).any(1)]
     for a in range(0, len(rows), BLOCK):
         r = rows[a : a + BLOCK]
         rough = x32[r] @ x32[columns].T >= threshold - SLACK
@@ -217,9 +289,9 @@ def _search_rows(found, x, x32, ids, target, rows, lists, here, sub, sub_here, t
             i, j = np.nonzero((exact >= threshold) & rough[np.ix_(rr, some_c)])
             s, i, j = exact[i, j], r[rr][i], columns[some_c][j]
             if lists.shape[1] > 1:
-                mine = _first_shared(lists[i], lists[j]) == here
+                mine = _counted(i, j, lists, near, here)
                 if sub is not None:
-                    mine &= _first_shared(sub[i], sub[j]) == sub_here
+                    mine &= _counted(i, j, sub, sub_near, sub_here)
                 s, i, j = s[mine], i[mine], j[mine]
             if not len(i):
                 continue
@@ -278,8 +350,10 @@ def neighbour_rows(vectors: DataFrame, probes: DataFrame | None, dim: int, thres
     spark = vectors.sparkSession
     n = vectors.count()
     k_lists = max(1, min(MOST_CENTROIDS, -(-n // LIST_SIZE)))
-    centroids = fit_centroids(sample_vectors(vectors, data_col, dim, n, k_lists * SAMPLE_PER_LIST), k_lists)
-    sent = spark.sparkContext.broadcast(centroids)  # at most about 2 * MOST_CENTROIDS * dim * 4 bytes
+    sample = sample_vectors(vectors, data_col, dim, n, k_lists * SAMPLE_PER_LIST)
+    centroids = fit_centroids(sample, k_lists)
+    needed = visits_needed(sample, centroids, threshold, min(k, 5))
+    sent = spark.sparkContext.broadcast((centroids, needed))  # at most about 2 * MOST_CENTROIDS * dim * 4 bytes
     packed = packed_vectors(vectors, "id", data_col, dim).select(F.lit(0).alias("kind"), "id", "vec")
     if probes is not None:
         packed = packed.unionByName(packed_vectors(probes, "id", data_col, dim).select(F.lit(1).alias("kind"), "id", "vec"))
@@ -287,24 +361,30 @@ def neighbour_rows(vectors: DataFrame, probes: DataFrame | None, dim: int, thres
     most = MOST_LISTS
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = CentroidGraph(sent.value)
+        c, needed = sent.value
+        graph = CentroidGraph(c)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unpack(batch.column(1), dim)
-            lists = posting_lists(graph, unit(x).astype(np.float32))
+            x = unit(x).astype(np.float32)
+            lists = posting_lists(graph, x)
+            near = nearest_list(c, x, lists)
+            visitors, to = visits(c, x, lists, near, needed)
             rows, cols = np.nonzero(lists >= 0)
-            take = pa.array(rows)
             # A row's first list is marked: there it comes out even without neighbours.
-            home = cols == (lists >= 0).argmax(1)[rows]
+            home = np.append(cols == (lists >= 0).argmax(1)[rows], np.zeros(len(to), bool))
+            list_ = np.append(lists[rows, cols], to).astype(np.int32)
+            rows = np.append(rows, visitors)
+            take = pa.array(rows)
             flat = pa.array(lists[rows].reshape(-1))
             all_ = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * most), flat)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lists[rows, cols]), pa.array(home), all_, *(batch.column(c).take(take) for c in range(4))],
-                ["list", "home", "lists", "kind", "vec", "rep", "copies"],
+                [pa.array(list_), pa.array(home), all_, pa.array(near[rows]), *(batch.column(i).take(take) for i in range(4))],
+                ["list", "home", "lists", "near", "kind", "vec", "rep", "copies"],
             )
 
-    placed = folded.select("kind", "vec", "rep", "copies").mapInArrow(assign, "list int, home boolean, lists array<int>, kind int, vec binary, rep bigint, copies bigint")
+    placed = folded.select("kind", "vec", "rep", "copies").mapInArrow(assign, "list int, home boolean, lists array<int>, near int, kind int, vec binary, rep bigint, copies bigint")
     schema = NEIGHBOURS + (", vec binary" if with_vectors else "")
 
     def search(table: pa.Table) -> pa.Table:
@@ -313,7 +393,7 @@ def neighbour_rows(vectors: DataFrame, probes: DataFrame | None, dim: int, thres
         x = unit(_unpack(col["vec"], dim))
         ids, kind, copies = (np.asarray(col[c]) for c in ("rep", "kind", "copies"))
         lists = np.asarray(col["lists"].flatten()).reshape(-1, most)
-        f = search_list(x, ids, kind == 0, lists, int(np.asarray(col["list"])[0]), threshold, k)
+        f = search_list(x, ids, kind == 0, lists, int(np.asarray(col["list"])[0]), threshold, k, np.asarray(col["near"]))
         out = np.flatnonzero((f.count > 0) | ((copies > 1) & np.asarray(col["home"])))
         place = np.full(len(x), -1, np.int64)
         place[out] = np.arange(len(out))

@@ -237,7 +237,7 @@ def linked_nodes(vectors: DataFrame, copies: DataFrame, dim: int, threshold: flo
         F.any_value("vec").alias("vec"), F.sum("n").alias("n"), F.expr("bit_xor(mix)").alias("mix"), F.min("least").alias("least"),
         F.flatten(F.collect_list("best")).alias("best"), F.max("copies").alias("copies"),
     )
-    # At most MOST_LISTS * EDGES entries of a row; each neighbour is counted in one list, so none is there twice.
+    # At most EDGES entries of a row for each list it is in or visits; each neighbour is counted in one list, so none is there twice.
     best = F.slice(F.array_sort(F.transform("best", lambda e: F.struct((-e["sim"]).alias("d"), e["id"].alias("id")))), 1, EDGES)
     edges = F.array_distinct(F.concat(F.transform(best, lambda e: e["id"]), F.when(F.col("n") > 0, F.array("least")).otherwise(F.array().cast("array<bigint>"))))
     one = one.select("rep", "vec", "n", "mix", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("rep")).alias("least"), edges.alias("edges"))

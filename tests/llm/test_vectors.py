@@ -169,3 +169,27 @@ def test_a_neighbour_outside_that_no_list_shares_ends_isolation(spark, monkeypat
     assert set(near) <= set(range(18, 27)) and len(near)
     want = {(int(h[0]), int(i)) for h in map(np.flatnonzero, s) for i in h[1:] if h[0] != 18 and i > h[0]}
     assert got == want and len(want) > 50
+
+
+@pytest.mark.parametrize("divide", [20480, 100])
+def test_neighbours_in_a_dense_region_that_many_lists_split(spark, monkeypatch, divide):
+    monkeypatch.setattr(ann, "LIST_SIZE", 100)
+    monkeypatch.setattr(ann, "DIVIDE", divide)
+    x = np.concatenate([groups(1, 2000, 0.3, 6, 64), groups(4000, 1, 0.0, 8, 64)])  # a third are near copies, over 60 lists
+    want = brute(x, x[:2000], 5, 0.85, True)
+    got = {}
+    for r in ann.nearest(frame(spark, x), None, 64, 5, 0.85).collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert all(len(v) == len(set(v)) <= 5 for v in got.values())  # no pair is counted twice
+    hit = sum(len(set(v) & set(got.get(i, []))) for i, v in want.items())
+    assert hit >= 0.95 * sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("divide", [20480, 60])
+def test_each_pair_is_counted_once_with_visitors(spark, monkeypatch, divide):
+    monkeypatch.setattr(ann, "LIST_SIZE", 100)
+    monkeypatch.setattr(ann, "DIVIDE", divide)
+    x = groups(1, 900, 0.2, 6, 64)
+    n = ann.neighbour_rows(frame(spark, x), None, 64, 0.85, 5).groupBy("rep").agg(F.sum("n").alias("n")).collect()
+    full = (similarities(x, x) >= 0.85).sum(1) - 1
+    assert all(r["n"] <= full[r["rep"]] for r in n) and sum(r["n"] for r in n) > 0.8 * full.sum()
