@@ -34,23 +34,27 @@ CHECK_ROWS = 4096
 TYPICAL = 3
 
 
-def merge_rounds(sums: np.ndarray, counts: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+def merge_rounds(sums: np.ndarray, counts: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, short: np.ndarray | None = None) -> np.ndarray:
     """The cluster of each node, as the index of one of its nodes. sums, counts: total and number of each node's vectors;
-    ids decide ties; a, b: edges in both directions."""
+    ids decide ties; a, b: edges in both directions. short: nodes that lack edges to some of their neighbours; clusters with
+    such a node are compared with all others that have one, so that no pair is overlooked for want of an edge."""
+    short = np.zeros(len(ids), bool) if short is None else short.copy()
     label = np.arange(len(ids))
     sums, counts, least = sums.copy(), counts.astype(np.float64), ids.copy()
-    while len(a):
+    while len(a) or short.sum() > 1:
         # Edge similarities block by block: means of two clusters, multiplied.
         means = sums / counts[:, None]
-        s = np.concatenate([np.einsum("ij,ij->i", means[a[i : i + 65536]], means[b[i : i + 65536]]) for i in range(0, len(a), 65536)])
+        s = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", means[a[i : i + 65536]], means[b[i : i + 65536]]) for i in range(0, len(a), 65536))])
+        more = _best_of_all(means, least, np.flatnonzero(short), threshold)
+        every_a, every_b, s = np.append(a, more[0]), np.append(b, more[1]), np.round(np.append(s, more[2]), 12)
         near = s >= threshold
         if not near.any():
             break
         # Edges below the threshold stay: their clusters' mean may come nearer. They can't be a best pair to merge now.
-        order = np.lexsort((least[b], -s, a))
-        first = order[np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1]))]
+        order = np.lexsort((least[every_b], -s, every_a))
+        first = order[np.flatnonzero(np.append(True, every_a[order][1:] != every_a[order][:-1]))]
         best = np.full(len(ids), -1)
-        best[a[first]] = np.where(near[first], b[first], -1)
+        best[every_a[first]] = np.where(near[first], every_b[first], -1)
         i = np.flatnonzero(best >= 0)
         i = i[best[best[i]] == i]
         keep, gone = i[least[i] < least[best[i]]], best[i[least[i] < least[best[i]]]]
@@ -58,6 +62,8 @@ def merge_rounds(sums: np.ndarray, counts: np.ndarray, ids: np.ndarray, a: np.nd
             break
         sums[keep] += sums[gone]
         counts[keep] += counts[gone]
+        short[keep] |= short[gone]
+        short[gone] = False
         to = np.arange(len(ids))
         to[gone] = keep
         label = to[label]
@@ -67,6 +73,22 @@ def merge_rounds(sums: np.ndarray, counts: np.ndarray, ids: np.ndarray, a: np.nd
     return label
 
 
+def _best_of_all(means: np.ndarray, least: np.ndarray, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity): for each of rows the most similar other one, ties to the smaller id, where it reaches the threshold."""
+    rows = rows[np.argsort(least[rows])]
+    a, b, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for i in range(0, len(rows) if len(rows) > 1 else 0, 512):
+        r = rows[i : i + 512]
+        sims = np.round(means[r] @ means[rows].T, 12)
+        sims[np.arange(len(r)), i + np.arange(len(r))] = -2
+        best = sims.argmax(1)
+        top = sims[np.arange(len(r)), best]
+        a.append(r[top >= threshold])
+        b.append(rows[best[top >= threshold]])
+        s.append(top[top >= threshold])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(s)
+
+
 CLUSTER = "rep bigint, cluster_id bigint, typicality double, clique boolean"
 
 
@@ -83,7 +105,7 @@ def _cliques(x: np.ndarray, label: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def _cluster_task(threshold: float, dim: int):
+def _cluster_task(threshold: float, dim: int, compare: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = list(batches)
         if not sum(b.num_rows for b in held):
@@ -103,7 +125,7 @@ def _cluster_task(threshold: float, dim: int):
         here = rep[at] == to
         a, b = np.concatenate([fro[here], at[here]]), np.concatenate([at[here], fro[here]])
         pair = np.unique(np.stack([a, b])[:, a != b], axis=1)
-        label = merge_rounds(x * weight[:, None], weight, rep, pair[0], pair[1], threshold)
+        label = merge_rounds(x * weight[:, None], weight, rep, pair[0], pair[1], threshold, np.asarray(t["n"]) > EDGES if compare else None)
         least = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(least, label, rep)
         sums = np.zeros_like(x)
@@ -245,30 +267,32 @@ def linked_nodes(vectors: DataFrame, copies: DataFrame, dim: int, threshold: flo
     return cut(one.join(weights, "rep", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("bigint"))))
 
 
-def average_linkage(nodes: DataFrame, dim: int, threshold: float, task_nodes: int = TASK_NODES) -> DataFrame:
+def average_linkage(nodes: DataFrame, dim: int, threshold: float, task_nodes: int = TASK_NODES, compare: bool = True) -> DataFrame:
     """(rep, cluster_id, typicality, clique) of linked nodes: cluster_id is the smallest id in the cluster, typicality the
     cosine with the cluster's mean, clique whether all its members are similar to each other."""
     parts = _with_parts(nodes)
     sizes = parts.groupBy("part").count()
     large = cut(sizes.where(F.col("count") > task_nodes).select("part"))
-    columns = ["rep", "vec", "weight", "edges"]
+    columns = ["rep", "vec", "weight", "edges", "n"]
     tasks = max(1, -(-nodes.count() // task_nodes) * 2)
     small = parts.join(large, "part", "left_anti").select("part", *columns).repartition(tasks, "part").select(*columns)
-    out = small.mapInArrow(_cluster_task(threshold, dim), CLUSTER)
+    out = small.mapInArrow(_cluster_task(threshold, dim, compare), CLUSTER)
     if not large.isEmpty():
         out = out.unionByName(_large_rounds(parts.join(large, "part", "left_semi").select(*columns), threshold, dim, task_nodes))
     return out
 
 
-def clusters(vectors: DataFrame, dim: int = 64, threshold: float = 0.85, task_nodes: int = TASK_NODES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def clusters(vectors: DataFrame, dim: int = 64, threshold: float = 0.85, task_nodes: int = TASK_NODES, compare: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, assignment, copies): see linked_nodes, average_linkage and ann.copies_of; nodes and assignment are over
     representatives of equal vectors.
 
     Unusable rows and repeated rows count for nothing; a vector without neighbour is its own cluster and not listed.
+    compare: compare clusters that lack edges as well. Isolated cliques don't need it: all averages in one reach the
+    threshold, so its linked clusters merge until it is one.
     """
     copies = cut(copies_of(vectors, 0, dim).select("id", "rep"))
     nodes = linked_nodes(vectors, copies, dim, threshold)
-    return nodes, cut(average_linkage(nodes, dim, threshold, task_nodes)), copies
+    return nodes, cut(average_linkage(nodes, dim, threshold, task_nodes, compare)), copies
 
 
 def cluster_summary(nodes: DataFrame, assignment: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "vectors").select("id", "data")
-    return clusters.isolated_cliques(*clusters.clusters(vectors, DIMENSION, SIMILAR), vectors=vectors, dim=DIMENSION, threshold=SIMILAR)
+    return clusters.isolated_cliques(*clusters.clusters(vectors, DIMENSION, SIMILAR, compare=False), vectors=vectors, dim=DIMENSION, threshold=SIMILAR)
 
 
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
