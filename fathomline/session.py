@@ -35,22 +35,52 @@ def bounded_batches(spark: SparkSession, size: int = ARROW_BATCH_BYTES) -> None:
         spark.conf.set(key, str(size))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df and cut its lineage with checkpoint().
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder that is already set. Only on one
+    machine, where neither is set, a temporary folder is made; a cluster without either is an error, since its executors
+    couldn't read what others wrote."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        held = sc._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else None
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="fathomline-")
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
 
-    The folder is the one the cluster names in spark.checkpoint.dir, shared by all executors, so the result survives
-    the loss of any of them. Only where none is set (tests, one machine) a temporary folder is used.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df and cut its lineage with checkpoint(), in the shared folder, so that the result survives the loss of
+    any executor."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomline-"))
+        root = shared_root(df.sparkSession)
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
+#: Folders that this process made, for release().
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or below a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomline-")
-    return f"{root.rstrip('/')}/fathomline-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    _made.append(f"{shared_root(spark)}/fathomline-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that shared_folder() and settle() made in this process, once no DataFrame needs them any more:
+    the number of folders deleted."""
+    n = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def settle(df: DataFrame) -> DataFrame:
