@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.functions.vectors import distance, dot
-from fathomline.session import bounded_batches
+from fathomline.functions.vectors import distance
+from fathomline.session import bounded_batches, settle
 
-#: Queries that are sent to the executors at once; more are searched in as many passes.
+#: Queries that are sent to the executors at once; more are searched in as many passes, one after the other.
 QUERY_BLOCK = 16_384
+#: Queries whose distances from a batch are held at once.
+TILE = 256
 #: Bytes of a query text.
 MOST_QUERY_BYTES = 8192
 
@@ -61,57 +63,97 @@ def search(vectors: DataFrame, query: list[float], k: int, filters: list[str] =
 def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "qid", id_col: str = "id", data_col: str = "data", exclude_self: bool = False) -> DataFrame:
     """(qid, id, distance): the k nearest of all vectors for each query, ties to the smaller id.
 
-    The queries, a stated set, go to the executors in blocks of QUERY_BLOCK; each partition of vectors answers with its
-    own k best of every query by a matrix product, and these meet in one shuffle. Vectors of another dimension than the
-    query's, and null ones, don't count.
+    For a stated set of queries; the nearest of every vector are found through cells (`cells.all_links`). Queries go to the
+    executors in blocks of QUERY_BLOCK; each partition of vectors answers with its own k best of every query, and these
+    meet in one shuffle. With several blocks each block's answer is written before the next is sent, so the driver and the
+    executors hold one block at a time. Vectors of another dimension than the query's, and null ones, don't count.
     """
     bounded_batches(vectors.sparkSession)
     sc = vectors.sparkSession.sparkContext
     rows = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(data_col).alias("d")).where("d is not null")
-    n = rows.count()
-    parts = -(-n // QUERY_BLOCK)
+    stored = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(data_col).alias("d"))
+    best = Window.partitionBy("qid").orderBy("distance", "id")
+    parts = max(1, -(-rows.count() // QUERY_BLOCK))
     out = None
-    for p in range(max(1, parts)):
-        block = rows if parts <= 1 else rows.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)
+    for p in range(parts):
+        block = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)
         local = block.toArrow()
-        dims = {len(x) for x in local["d"].to_pylist()}
-        if len(dims) > 1:
+        sizes = np.unique(np.asarray(local["d"].combine_chunks().value_lengths())) if local.num_rows else np.zeros(1, int)
+        if len(sizes) > 1:
             raise ValueError("queries of different dimensions")
-        ids = local["q"].to_numpy()
-        sent = sc.broadcast((ids, np.array(local["d"].to_pylist(), np.float64).reshape(len(ids), dims.pop() if dims else 0)))
-        found = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(data_col).alias("d")).mapInArrow(
-            _knn_task(sent, k, exclude_self), "qid bigint, id bigint, distance double"
-        )
+        x = np.asarray(local["d"].combine_chunks().flatten().cast(pa.float64()).fill_null(np.nan)).reshape(local.num_rows, sizes[0])
+        sent = sc.broadcast((local["q"].to_numpy(), x))  # at most about 2 * QUERY_BLOCK vectors
+        found = stored.mapInArrow(_knn_task(sent, k, exclude_self), "qid bigint, id bigint, distance double")
+        found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+        if parts > 1:
+            found = settle(found)
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("qid").orderBy("distance", "id")
-    return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    return out
+
+
+def least(distance: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, distance, id) of the k least finite distances of every row, ties to the smaller id; in order of row, distance,
+    id. Only what is within the k-th value is sorted. limit: distances above it, row by row, aren't wanted."""
+    n = distance.shape[1]
+    bound = np.partition(distance, k - 1, axis=1)[:, k - 1] if 0 < k < n else np.full(len(distance), np.inf)
+    if limit is not None:
+        bound = np.minimum(bound, limit)
+    r, c = np.nonzero((distance <= bound[:, None]) & np.isfinite(distance)) if k > 0 else (np.empty(0, np.int64),) * 2
+    d, i = distance[r, c], np.broadcast_to(ids, distance.shape)[r, c]
+    order = np.lexsort((i, d, r))
+    r, d, i = r[order], d[order], i[order]
+    first = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.empty(0, np.int64)
+    rank = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+    return r[rank < k], d[rank < k], i[rank < k]
+
+
+class Nearest:
+    """The k nearest rows seen so far of each of some queries, fed batch by batch. Memory: k entries of a query, and a tile
+    of TILE queries by a batch."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool) -> None:
+        self.qids, self.q, self.k, self.exclude_self = qids, q, k, exclude_self
+        self.d = np.full((len(q), k), np.inf)
+        self.i = np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for a in range(0, len(self.q) if self.k else 0, TILE):
+            t = slice(a, a + TILE)
+            d = self.q[t] @ x.T
+            np.subtract(1, d, out=d)
+            np.round(d, 12, out=d)  # equal vectors tie, whatever block they are in
+            np.nan_to_num(d, copy=False, nan=np.inf, posinf=np.inf, neginf=np.inf)
+            if self.exclude_self:
+                d[self.qids[t, None] == ids[None, :]] = np.inf
+            r, d, i = least(d, ids, self.k, self.d[t, -1])
+            rows = np.unique(r)
+            held = rows[np.repeat(np.arange(len(rows)), self.k)]
+            r, d, i = np.append(r, held), np.append(d, self.d[t][rows].ravel()), np.append(i, self.i[t][rows].ravel())
+            order = np.lexsort((i, d, r))
+            r, d, i = r[order], d[order], i[order]
+            first = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.empty(0, np.int64)
+            rank = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+            keep = rank < self.k
+            self.d[a + r[keep], rank[keep]], self.i[a + r[keep], rank[keep]] = d[keep], i[keep]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, c = np.nonzero(np.isfinite(self.d))
+        return self.qids[r], self.i[r, c], self.d[r, c]
 
 
 def _knn_task(sent, k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = sent.value
-        held_i, held_d = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
+        best = Nearest(qids, q, k, exclude_self)
         for batch in batches:
-            if not len(qids):
-                continue
             size = np.asarray(batch.column(1).value_lengths().fill_null(-1))
             rows = np.flatnonzero((size == q.shape[1]) & ~np.asarray(batch.column(0).is_null()))
-            if not len(rows):
-                continue
-            take = pa.array(rows)
-            ids = np.asarray(batch.column(0).take(take))
-            x = np.asarray(batch.column(1).take(take).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(rows), -1)
-            d = np.round(1 - q @ x.T, 12)  # equal vectors tie, whatever block they are in
-            d[np.isnan(d)] = np.inf
-            if exclude_self:
-                d[qids[:, None] == ids[None, :]] = np.inf
-            d = np.concatenate([held_d, d], axis=1)
-            i = np.concatenate([held_i, np.broadcast_to(ids, (len(qids), len(ids)))], axis=1)
-            # A stable order by distance, then id.
-            order = np.lexsort((i, d), axis=1)[:, :k]
-            held_d, held_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        r, c = np.nonzero(np.isfinite(held_d))
-        yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(held_i[r, c]), pa.array(held_d[r, c])], ["qid", "id", "distance"])
+            if len(rows):
+                take = pa.array(rows)
+                x = np.asarray(batch.column(1).take(take).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(rows), -1)
+                best.add(np.asarray(batch.column(0).take(take)), x)
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, best.found())), ["qid", "id", "distance"])
 
     return run
 
@@ -163,46 +205,115 @@ def nearest_cells(df: DataFrame, centroids: DataFrame, probes: int, id_col: str
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(data_col).alias("data")).mapInArrow(run, f"id bigint, data {kind}, cell bigint")
 
 
-def _rerank(candidates: DataFrame, k: int) -> DataFrame:
-    scored = candidates.select("qid", "id", distance(F.col("q"), F.col("data")).alias("distance"))
+def with_cells(df: DataFrame, centroids: DataFrame, data_col: str = "data") -> DataFrame:
+    """df with _cell, the nearest centroid's, and _d, the distance from it, both found where the rows lie; the largest cell
+    number and no distance where the vector isn't usable."""
+    bounded_batches(df.sparkSession)
+    cells, c = _local(centroids)
+    sent = df.sparkSession.sparkContext.broadcast((cells, c))
+    at = df.columns.index(data_col)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_cell bigint", "_d double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, c = sent.value
+        for batch in batches:
+            cell, dist = np.full(batch.num_rows, np.iinfo(np.int64).max), np.full(batch.num_rows, np.nan)
+            size = np.asarray(batch.column(at).value_lengths().fill_null(-1))
+            rows = np.flatnonzero(size == c.shape[1]) if c.ndim == 2 else np.empty(0, np.int64)
+            if len(rows):
+                x = np.asarray(batch.column(at).take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(rows), -1)
+                d = np.round(1 - x @ c.T, 12)
+                best = np.where(np.isnan(d), np.inf, d).argmin(1)
+                good = np.isfinite(d[np.arange(len(d)), best])
+                cell[rows[good]], dist[rows[good]] = cells[best[good]], np.round(d[good, best[good]], 9)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist, mask=np.isnan(dist))], [*df_columns, "_cell", "_d"])
+
+    df_columns = df.columns
+    return df.mapInArrow(run, schema)
+
+
+def _rerank(pairs: DataFrame, k: int) -> DataFrame:
+    scored = pairs.select("qid", "id", distance(F.col("q"), F.col("data")).alias("distance")).where("distance is not null")
     w = Window.partitionBy("qid").orderBy("distance", "id")
     return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def cell_search(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int, probes: int, query_id: str = "qid", id_col: str = "id", data_col: str = "data") -> DataFrame:
-    """(qid, id, distance): k nearest among the vectors of the `probes` cells nearest to each query."""
-    v = nearest_cells(vectors, centroids, 1, id_col, data_col)
-    q = nearest_cells(queries, centroids, probes, query_id, data_col).select(F.col("id").alias("qid"), F.col("data").alias("q"), "cell")
-    return _rerank(v.join(q, "cell"), k)
+    """(qid, id, distance): k nearest among the vectors of the `probes` cells nearest to each query. The queries, a stated
+    set in blocks of QUERY_BLOCK, go to the vectors with their cells: a partition scores its rows of a cell with the cell's
+    queries by a matrix product, so neither vectors nor pairs are shuffled, and a hot cell lies in as many tasks as its
+    rows do. Only k rows of a query and partition meet in a shuffle."""
+    spark = vectors.sparkSession
+    bounded_batches(spark)
+    cells, c = _local(centroids)
+    stored = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(data_col).alias("data"))
+    rows = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(data_col).alias("d")).where(F.size(data_col) == c.shape[-1])
+    best = Window.partitionBy("qid").orderBy("distance", "id")
+    parts = max(1, -(-rows.count() // QUERY_BLOCK))
+    out = None
+    for p in range(parts):
+        block = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)
+        local = block.toArrow()
+        x = np.asarray(local["d"].combine_chunks().flatten().cast(pa.float64()).fill_null(np.nan)).reshape(local.num_rows, -1) if local.num_rows else np.empty((0, c.shape[-1]))
+        sent = spark.sparkContext.broadcast((c, local["q"].to_numpy(), x, np.argsort(np.round(1 - x @ c.T, 12), axis=1, kind="stable")[:, :probes]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            c, qids, q, wanted = sent.value
+            best: dict[int, tuple[np.ndarray, Nearest]] = {}
+            for batch in batches:
+                size = np.asarray(batch.column(1).value_lengths().fill_null(-1))
+                rows = np.flatnonzero((size == c.shape[1]) & ~np.asarray(batch.column(0).is_null()))
+                if not len(rows):
+                    continue
+                take = pa.array(rows)
+                ids = np.asarray(batch.column(0).take(take))
+                v = np.asarray(batch.column(1).take(take).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(rows), -1)
+                cell = np.round(1 - v @ c.T, 12).argmin(1)
+                for j in np.unique(cell):
+                    if j not in best:
+                        of = np.flatnonzero((wanted == j).any(1))
+                        best[j] = Nearest(qids[of], q[of], k, False)
+                    best[j].add(ids[cell == j], v[cell == j])
+            for b in best.values():
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, b.found())), ["qid", "id", "distance"])
+
+        found = stored.mapInArrow(run, "qid bigint, id bigint, distance double").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+        if parts > 1:
+            found = settle(found)
+            sent.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 # Signatures: signs of products with planes of +1 and -1, taken from a hash so that any engine makes the same ones.
 
 
 def signatures(df: DataFrame, tables: int, bits: int, dim: int, id_col: str = "id", data_col: str = "data") -> DataFrame:
-    """id, data and (band, code) of each of the tables."""
+    """(id, band, code) of each of the tables: all codes of a batch by one matrix product. The vectors don't ride along."""
     import hashlib
 
-    def plane(t: int, b: int) -> list[float]:
-        digest = [hashlib.md5(f"{t}:{b}:{i}".encode()).digest()[0] for i in range(dim)]
-        return [1.0 if x % 2 else -1.0 for x in digest]
+    bounded_batches(df.sparkSession)
+    sides = np.array([[1.0 if hashlib.md5(f"{t}:{b}:{i}".encode()).digest()[0] % 2 else -1.0 for i in range(dim)] for t in range(tables) for b in range(bits)])
 
-    x = F.col(data_col)
-    codes = []
-    for t in range(tables):
-        code = F.lit(0)
-        for b in range(bits):
-            side = dot(x, F.lit(plane(t, b)).cast("array<double>"))
-            code = code + F.when(F.round(side, 9) > 0, F.lit(1 << b)).otherwise(F.lit(0))
-        codes.append(F.struct(F.lit(t).alias("band"), code.cast("int").alias("code")))
-    return df.select(F.col(id_col).alias("id"), x.alias("data"), F.inline(F.array(*codes)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.asarray(batch.column(1).value_lengths().fill_null(-1))
+            rows = np.flatnonzero(size == dim)
+            x = np.asarray(batch.column(1).take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(rows), dim)
+            code = (np.round(x @ sides.T, 9) > 0).reshape(len(rows), tables, bits) @ (1 << np.arange(bits))
+            take = pa.array(np.repeat(rows, tables))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(code.reshape(-1).astype(np.int32))], ["id", "band", "code"]
+            )
+
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(data_col).alias("data")).mapInArrow(run, "id bigint, band int, code int")
 
 
 def signature_search(queries: DataFrame, vectors: DataFrame, k: int, tables: int, bits: int, dim: int, query_id: str = "qid", id_col: str = "id", data_col: str = "data") -> DataFrame:
-    """(qid, id, distance): k nearest among the vectors that share a code with the query in some table."""
+    """(qid, id, distance): k nearest among the vectors that share a code with the query in some table. What meets on
+    (band, code) are ids; a pair that meets in several bands is scored once."""
     v = signatures(vectors, tables, bits, dim, id_col, data_col)
-    q = signatures(queries, tables, bits, dim, query_id, data_col).select(F.col("id").alias("qid"), F.col("data").alias("q"), "band", "code")
-    pairs = v.join(q, ["band", "code"])
-    scored = pairs.select("qid", "id", distance(F.col("q"), F.col("data")).alias("distance")).groupBy("qid", "id").agg(F.first("distance").alias("distance"))
-    w = Window.partitionBy("qid").orderBy("distance", "id")
-    return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    q = signatures(queries, tables, bits, dim, query_id, data_col).withColumnRenamed("id", "qid")
+    pairs = v.join(q, ["band", "code"]).select("qid", "id").distinct()
+    pairs = pairs.join(queries.select(F.col(query_id).cast("bigint").alias("qid"), F.col(data_col).alias("q")), "qid")
+    return _rerank(pairs.join(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(data_col).alias("data")), "id"), k)

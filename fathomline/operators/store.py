@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.functions.vectors import dot
 from fathomline.operators.catalog import refresh_meta
-from fathomline.operators.search import nearest_cells
+from fathomline.operators.search import with_cells
+from fathomline.schemas import VECTORS
+from fathomline.session import settle
 
 BLOCK_ROWS = 1024
 
@@ -16,16 +17,20 @@ BLOCK_ROWS = 1024
 def assign_ids(rows: DataFrame, *order: str, first: int = 0, id_col: str = "id") -> DataFrame:
     """rows with dense ids from `first` on, in the given order, which must be total for the ids to be repeatable.
 
-    Rows are range partitioned and sorted; a partition's ids begin after the counts of those before it. So no task holds
-    all rows, as a window without partition would. The counts, one number of each partition, are a small table.
+    Rows are range partitioned and sorted; a partition's ids begin after the counts of those before it, so no task holds
+    all rows, as a window without partition would. The sorted rows are written once, each with the partition it was in, and
+    both the counts and the ids come from that table: two runs of one plan may be partitioned differently (other samples
+    of the bounds, other coalescing), so numbers of one must not meet counts of the other. Rows with null in `order` come
+    first; an empty table stays empty.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("_k", F.col("_k") - F.shiftleft(F.col("_p").cast("bigint"), 33))
+    plain = [c for c in rows.columns if c != id_col]
+    ranged = rows.select(*plain).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    held = settle(numbered)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = numbered.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    out = numbered.join(F.broadcast(counts), "_p")  # one row of each partition
-    return out.withColumn(id_col, F.col("_base") + F.col("_k") + first).select(id_col, *[c for c in rows.columns if c != id_col])
+    counts = held.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    out = held.join(F.broadcast(counts), "_p")  # one row of each partition
+    return out.withColumn(id_col, F.col("_base") + F.col("_k") + first).select(id_col, *plain)
 
 
 def with_blocks(rows: DataFrame, id_col: str = "id", size: int = BLOCK_ROWS) -> DataFrame:
@@ -57,14 +62,33 @@ def replace_files(vectors: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
 
 def reblock(vectors: DataFrame, centroids: DataFrame, ledger: DataFrame | None = None, size: int = BLOCK_ROWS) -> DataFrame:
     """vectors in blocks of similar vectors: ordered by nearest cell, then by distance from its centroid; every id once,
-    tags refreshed from the ledger. The order replaces a walk over the graph, which can't be spread over tasks."""
-    cell = nearest_cells(vectors, centroids, 1).select("id", "cell").join(F.broadcast(centroids), "cell")
-    near = vectors.join(cell, "id").withColumn("_d", F.round(1 - dot(F.col("data"), F.col("centroid")), 9))
-    ranked = assign_ids(near, "cell", "_d", "id", id_col="_place").withColumn("block", F.floor(F.col("_place") / size))
+    tags refreshed from the ledger. The order replaces a walk over the graph, which can't be spread over tasks. Rows without
+    a usable vector come last. The cell and the distance are found where the vectors lie, which are then shuffled once."""
+    placed = with_cells(vectors, centroids)
+    ranked = assign_ids(placed, "_cell", "_d", "id", id_col="_place").withColumn("block", F.floor(F.col("_place") / size))
     out = ranked.select(*[c for c in vectors.columns if c != "block"], "block")
     return refresh_meta(out, ledger) if ledger is not None else out
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """A folder of each block; only the blocks that are written are replaced."""
-    vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(path)
+    """The whole store at path, a folder of each block; folders of blocks that are no more are deleted."""
+    vectors.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("block").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, blocks: list[int] | None = None) -> DataFrame:
+    """The store that write_vectors wrote, or some of its blocks: the others' folders aren't opened."""
+    df = spark.read.schema(VECTORS).parquet(path)
+    return df.where(F.col("block").isin([int(b) for b in blocks])) if blocks is not None else df
+
+
+def by_ids(vectors: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
+    """The rows of some ids; unknown and repeated ids give nothing more. A list becomes a predicate that reaches the scan,
+    where row groups without these ids are skipped; a table (id) becomes a semi join, by its size broadcast or not."""
+    if isinstance(ids, DataFrame):
+        return vectors.join(ids.select("id").distinct(), "id", "left_semi")
+    return vectors.where(F.col("id").isin(sorted({int(i) for i in ids})))
+
+
+def blocks_of(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, block) of some ids: which blocks an access by id has to read."""
+    return vectors.select("id", "block").join(ids.select("id").distinct(), "id", "left_semi")
