@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.functions import messages
 from fathomline.functions.texts import extension
 from fathomline.operators import catalog, chunks, graph, search, store
 from fathomline.operators.embed import Embedder, HashEmbedder, embed
 from fathomline.plans.rules import Rule, with_rules
-from fathomline.schemas import EDGES, LEDGER, VECTORS
+from fathomline.schemas import EDGES, LEDGER, QUERIES, VECTORS
 
 
 class Engine:
@@ -78,17 +80,10 @@ class Engine:
         return self.ledger
 
     def cut(self, files: DataFrame) -> DataFrame:
-        """Chunks of files (filepath, text, meta) by the rules of their extensions: (filepath, meta, start, end, chunk)."""
+        """Chunks of files (filepath, text, meta) by the rules of their extensions: (filepath, meta, start, end, chunk). Texts
+        are read once, whatever splitters there are."""
         ruled = with_rules(files.select("filepath", "text", "meta", extension(F.col("filepath")).alias("extension")), self.rules)
-        flow = ruled.drop("extension")
-        parts = [chunks.split_naive(flow.where("splitter = 'naive'")), chunks.split_functions(flow.where("splitter = 'code'"))]
-        values = {(r.rule_type, r.value) for r in self.rules if r.rule_type in ("split", "maxlength")}
-        for kind, value in sorted(values):
-            some = flow.where((F.col("splitter") == kind) & (F.col("splitter_value") == value))
-            parts.append(chunks.split_separator(some, value) if kind == "split" else chunks.split_max_length(some, int(value)))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = chunks.split_by(ruled.drop("extension"))
         kept = chunks.keep_chunks(out, F.col("min_length"), F.col("alphanumeric"))
         return kept.select("filepath", "meta", "start", "end", "chunk")
 
@@ -124,6 +119,33 @@ class Engine:
         self._write(vectors=store.reblock(self.vectors, centroids, self.ledger))
         return self.vectors
 
+    def count(self) -> int:
+        return self.vectors.count()
+
+    def get(self, ids: list[int] | DataFrame) -> DataFrame:
+        """The stored rows of some ids."""
+        return store.by_ids(self.vectors, ids)
+
+    def log_query(self, text: str) -> int:
+        """Append a query's text to the table of queries, under the time in microseconds, which is returned."""
+        at = time.time_ns() // 1000
+        self.spark.createDataFrame([(at, text)], QUERIES).coalesce(1).write.mode("append").parquet(f"{self.folder}/queries")
+        return at
+
+    @property
+    def queries(self) -> DataFrame:
+        path = f"{self.folder}/queries"
+        return self.spark.read.schema(QUERIES).parquet(path) if self._fs.exists(self._path(path)) else self.spark.createDataFrame([], QUERIES)
+
+    def handle(self, request: str, files: DataFrame | None = None) -> str:
+        """The JSON answer to a JSON request: a query, or an edit of a file whose text is in files (filepath, text, meta)."""
+        r = messages.parse_request(self.spark, request)
+        if r["message_type"] == "query":
+            self.log_query(r["payload"]["query"])
+            return messages.response(self.search(r["payload"]["query"], r["payload"]["k"], r["payload"]["filters"] or []))
+        self.update(files.where(F.col("filepath") == r["payload"]["filepath"]))
+        return messages.response(self.spark.createDataFrame([], "filepath string, subset struct<start:bigint,end:bigint>"))
+
     def search(self, text: str, k: int = 10, filters: list[str] = ()) -> DataFrame:
         """(filepath, subset, distance) of the k nearest chunks that pass the filters."""
         query = self.embedder.embed([search.check_query(text)])[0].tolist()

@@ -12,8 +12,9 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,9 @@ from fathomline.session import bounded_batches
 MOST = 8192
 
 
-def _with_text(docs: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+def _with_text(docs: DataFrame, text: str, extra: tuple[Column, ...] = ()) -> tuple[DataFrame, list[str]]:
     keep = [c for c in docs.columns if c not in (text, "chunk", "start", "end")]
-    return docs.select(*keep, line_feeds(F.col(text)).alias("_text")), keep
+    return docs.select(*keep, line_feeds(F.col(text)).alias("_text"), *(c.alias(f"_x{i}") for i, c in enumerate(extra))), keep
 
 
 def split_max_length(docs: DataFrame, length: int = MOST, text: str = "text", drop_boundary: bool = True) -> DataFrame:
@@ -48,46 +49,79 @@ def split_naive(docs: DataFrame, text: str = "text") -> DataFrame:
     return split_max_length(docs, MOST, text)
 
 
-def _split_in_python(docs: DataFrame, text: str, cut) -> DataFrame:
-    """cut(text) yields (start, end); the documents' other columns are carried along by row, no shuffle."""
-    bounded_batches(docs.sparkSession)
-    d, keep = _with_text(docs, text)
-    d = d.where("_text is not null").select(*keep, "_text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_text"), "start bigint", "end bigint", "chunk string"])
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position within the row) of counts[row] entries of each row."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, starts, ends, chunks = [], [], [], []
-            for i, t in enumerate(batch.column(len(keep)).to_pylist()):
-                for s, e in cut(t):
-                    rows.append(i)
-                    starts.append(s)
-                    ends.append(e)
-                    chunks.append(t[s:e])
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(take) for k in range(len(keep))), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(chunks, pa.string())],
-                [*keep, "start", "end", "chunk"],
-            )
 
-    return d.mapInArrow(run, schema)
+#: (row, start, end, chunks): where the chunks of a batch of texts begin and end; their texts, or None where they are to be
+#: sliced.
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array | None]
+
 
+def length_spans(texts: pa.Array, size: int) -> Spans:
+    n = np.asarray(pc.utf8_length(texts)).astype(np.int64)
+    rows, k = _spread(-(-n // (size + 1)))
+    return rows, k * (size + 1), np.minimum(k * (size + 1) + size, n[rows]), None
 
-def separator_spans(text: str, separator: str, most: int = MOST) -> Iterator[tuple[int, int]]:
+
+def separator_spans(texts: pa.Array, separator: str, most: int = MOST) -> Spans:
     """Spans between separators, empty ones too; a span above `most` is flushed at `most` and as many characters as the
-    separator has are dropped."""
+    separator has are dropped. All texts of a batch at once: pieces, lengths and running offsets are array operations. (As a
+    Catalyst expression the running offsets of an array are quadratic in its length, or need a window over a shuffle.)"""
     step = len(separator)
-    for s, piece in zip(accumulate((len(p) + step for p in text.split(separator)), initial=0), text.split(separator)):
-        n = len(piece)
-        yield s, s + min(n, most)
-        for k in range(most + step, n, most + step):
-            yield s + k, s + min(k + most, n)
+    pieces = pc.split_pattern(texts, separator)
+    of = np.asarray(pc.list_parent_indices(pieces))
+    flat = pieces.flatten()
+    n = np.asarray(pc.utf8_length(flat)).astype(np.int64)
+    before = np.cumsum(n + step) - (n + step)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+    start = before - np.repeat(before[first], np.diff(np.append(first, len(of))))
+    if not (n > most).any():
+        return of, start, start + n, flat
+    at, k = _spread(np.maximum(1, -(-n // (most + step))))
+    lo = k * (most + step)
+    hi = np.minimum(lo + most, n[at])
+    long = n[at] > most
+    cut = [flat[int(i)].as_py()[a:b] for i, a, b in zip(at[long], lo[long], hi[long])]
+    return of[at], start[at] + lo, start[at] + hi, pc.replace_with_mask(flat.take(pa.array(at)), pa.array(long), pa.array(cut, flat.type))
+
+
+def _sliced(texts: pa.Array, spans: Spans) -> pa.Array:
+    if spans[3] is not None:
+        return spans[3]
+    held = texts.to_pylist()
+    return pa.array([held[r][s:e] for r, s, e in zip(*(x.tolist() for x in spans[:3]))], pa.string())
+
+
+def _cut(docs: DataFrame, text: str, spans, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """spans(texts, *extra columns) of every Arrow batch; the documents' other columns are carried along, no shuffle. A null
+    text has no chunk."""
+    bounded_batches(docs.sparkSession)
+    d, keep = _with_text(docs, text, extra)
+    d, n_extra = d.where("_text is not null"), len(extra)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name in keep), "start bigint", "end bigint", "chunk string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(len(keep)).cast(pa.string())
+                found = spans(texts, *(part.column(len(keep) + 1 + i) for i in range(n_extra)))
+                take = pa.array(found[0])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k).take(take) for k in range(len(keep))), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64()), _sliced(texts, found)],
+                    [*keep, "start", "end", "chunk"],
+                )
+
+    return d.mapInArrow(run, schema)
 
 
 def split_separator(docs: DataFrame, separator: str, text: str = "text") -> DataFrame:
     if not separator:
         raise ValueError("separator must not be empty")
-    return _split_in_python(docs, text, lambda t: separator_spans(t, separator))
+    return _cut(docs, text, lambda t: separator_spans(t, separator))
 
 
 _RUST = re.compile(r"(?m)(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+\w+")
@@ -115,15 +149,31 @@ def _braced(text: str, pattern: re.Pattern[str]) -> Iterator[tuple[int, int]]:
                 break
 
 
+def _indented_functions(text: str) -> Iterator[tuple[int, int]]:
+    """Functions of a text that can't be parsed, by indentation: up to the next line that is not deeper. A header that is
+    followed at once by another of the same depth holds that one: the inner function ends with the first return at the
+    depth of its first line, the outer one where the lines below it end."""
+    heads = list(_PYTHON.finditer(text))
+    for k, m in enumerate(heads):
+        below = text.find("\n", m.end()) + 1 or len(text)
+        inner = heads[k + 1] if k + 1 < len(heads) and heads[k + 1].start() == below and heads[k + 1][1] == m[1] else None
+        if inner:
+            below = text.find("\n", inner.end()) + 1 or len(text)
+        flat = re.compile(rf"(?m)^(?!{re.escape(m[1])}[ \t]|[ \t]*$|[ \t]*[)\]}}])").search(text, below)
+        end = max(len(text[: flat.start() if flat else len(text)].rstrip()), m.end())
+        before = heads[k - 1] if k else None
+        if before and before[1] == m[1] and m.start() == (text.find("\n", before.end()) + 1 or len(text)):
+            body = re.compile(r"[ \t]*").match(text, below)[0]
+            last = re.compile(rf"(?m)^{re.escape(body)}return\b[^\n]*").search(text, below, end)
+            end = last.end() if last else end
+        yield m.start() + len(m[1]), end
+
+
 def _python_functions(text: str) -> Iterator[tuple[int, int]]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        # By indentation: up to the next line that is not deeper.
-        for m in _PYTHON.finditer(text):
-            deeper = re.compile(rf"(?m)^(?!{re.escape(m[1])}[ \t]|[ \t]*$|[ \t]*[)\]}}])").search(text, text.find("\n", m.end()) + 1 or len(text))
-            end = len(text[: deeper.start() if deeper else len(text)].rstrip())
-            yield m.start() + len(m[1]), max(end, m.end())
+        yield from _indented_functions(text)
         return
     lines = text.split("\n")
     starts = [0, *accumulate(len(x) + 1 for x in lines)]
@@ -143,28 +193,50 @@ def function_spans(text: str, extension: str) -> Iterator[tuple[int, int]]:
             yield k, min(k + MOST, e)
 
 
+def code_spans(texts: pa.Array, extensions: pa.Array) -> Spans:
+    rows, starts, ends = [], [], []
+    for i, (t, x) in enumerate(zip(texts.to_pylist(), extensions.to_pylist())):
+        for a, b in function_spans(t, x or ""):
+            rows.append(i)
+            starts.append(a)
+            ends.append(b)
+    return np.array(rows, np.int64), np.array(starts, np.int64), np.array(ends, np.int64), None
+
+
 def split_functions(docs: DataFrame, text: str = "text", path: str = "filepath") -> DataFrame:
     """Chunks of functions by the file's extension; a null path is an unknown extension."""
-    bounded_batches(docs.sparkSession)
-    d, keep = _with_text(docs, text)
-    d = d.where("_text is not null").select(*keep, "_text", F.coalesce(F.element_at(F.split(path, r"\."), -1), F.lit("")).alias("_extension"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name not in ("_text", "_extension")), "start bigint", "end bigint", "chunk string"])
+    return _cut(docs, text, code_spans, (F.element_at(F.split(path, r"\."), -1),))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, out = [], []
-            for i, (t, x) in enumerate(zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist())):
-                for s, e in function_spans(t, x):
-                    rows.append(i)
-                    out.append((s, e, t[s:e]))
-            take = pa.array(rows, pa.int64())
-            cols = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(take) for k in range(len(keep))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())],
-                [*keep, "start", "end", "chunk"],
-            )
 
-    return d.mapInArrow(run, schema)
+#: The splitters that rules name: spans(texts, value, extensions). A further one is added here under its name.
+SPLITTERS = {
+    "naive": lambda texts, value, extensions: length_spans(texts, MOST),
+    "maxlength": lambda texts, value, extensions: length_spans(texts, max(1, min(int(value), MOST))),
+    "split": lambda texts, value, extensions: separator_spans(texts, value),
+    "code": lambda texts, value, extensions: code_spans(texts, extensions),
+}
+
+
+def split_by(docs: DataFrame, splitter: str = "splitter", value: str = "splitter_value", text: str = "text", path: str = "filepath") -> DataFrame:
+    """Chunks of documents, each cut by the splitter and value that its own row names; all of them in one pass over the
+    texts."""
+
+    def spans(texts: pa.Array, kinds: pa.Array, values: pa.Array, extensions: pa.Array) -> Spans:
+        by: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(kinds.to_pylist(), values.to_pylist())):
+            by.setdefault(key, []).append(i)
+        parts = []
+        for (kind, v), held in by.items():
+            take = pa.array(held)
+            some = texts.take(take)
+            found = SPLITTERS[kind](some, v, extensions.take(take))
+            parts.append((np.array(held)[found[0]], found[1], found[2], _sliced(some, found)))
+        if not parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.string())
+        rows, starts, ends = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        return rows, starts, ends, pa.concat_arrays([p[3] for p in parts])
+
+    return _cut(docs, text, spans, (F.col(splitter), F.col(value), F.element_at(F.split(path, r"\."), -1)))
 
 
 def keep_chunks(chunks: DataFrame, min_length: Column | int = 0, alphanumeric: Column | bool = False) -> DataFrame:
@@ -182,31 +254,35 @@ def read_subset(docs: DataFrame, start: str = "start", end: str = "end", text: s
     return docs.withColumn("chunk", part)
 
 
-def batches(chunks: DataFrame, source: str = "filepath", budget: int = MOST) -> DataFrame:
+def batches(chunks: DataFrame, source: str = "filepath", budget: int = MOST, in_order: bool = False) -> DataFrame:
     """chunks with batch_no: the chunks of a source in order of start, packed greedily: a chunk opens a new batch when the
-    bytes since the last opening reach the budget with it. The state is a running value within a source; the order is by
-    start, ties by end."""
-    key = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.octet_length("chunk").alias("b"))
-
-    @F.pandas_udf("array<int>")
-    def pack(sizes: pd.Series) -> pd.Series:
-        return pd.Series([pack_sizes(b, budget) for b in sizes])
-
-    # A source's sizes, not its texts, are gathered: a few bytes for each of its chunks.
-    sizes = chunks.groupBy(source).agg(F.array_sort(F.collect_set(key)).alias("k"))
-    numbered = sizes.select(source, "k", pack(F.transform("k", lambda x: x["b"])).alias("no"))
-    numbered = numbered.select(source, F.explode(F.arrays_zip("k", "no")).alias("z")).select(
-        source, F.col("z.k.s").alias("start"), F.col("z.k.e").alias("end"), F.col("z.no").alias("batch_no")
-    )
-    return chunks.join(numbered, [source, "start", "end"])
-
-
-def pack_sizes(sizes, budget: int) -> list[int]:
-    """Batch numbers of chunks of these sizes, in order."""
-    out, no, total = [], 0, 0
-    for b in sizes:
-        if out and total + b >= budget:
-            no, total = no + 1, 0
-        total += b
-        out.append(no)
-    return out
+    bytes since the last opening reach the budget with it. Ties of start are ordered by end; a repeated chunk has the number
+    of the first.
+
+    The state is a running value within a source and is carried from row to row, so no source is gathered. in_order: the
+    chunks come straight from a splitter, each source's in one partition and in order; then nothing is shuffled. Else they
+    are shuffled by source and sorted.
+    """
+    bounded_batches(chunks.sparkSession)
+    d = chunks if in_order else chunks.repartition(source).sortWithinPartitions(source, "start", "end")
+    at = [d.columns.index(c) for c in (source, "start", "end", "chunk")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema), "batch_no int"])
+    names = [*d.columns, "batch_no"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, span, no, total = object(), None, 0, 0
+        for batch in batches:
+            out = []
+            sizes = pc.binary_length(batch.column(at[3])).fill_null(0).to_pylist()
+            for key, s, e, b in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist(), batch.column(at[2]).to_pylist(), sizes):
+                if key != last:
+                    last, no, total = key, 0, b
+                elif span != (s, e):
+                    if total + b >= budget:
+                        no, total = no + 1, 0
+                    total += b
+                span = (s, e)
+                out.append(no)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names)
+
+    return d.mapInArrow(run, schema)

@@ -117,3 +117,9 @@ def with_rules(files: DataFrame, rules: list[Rule], extension: str = "extension"
                 value = F.when(F.col(extension) == e, F.lit(getattr(a, f.name)).cast(kind)).otherwise(value)
         columns[f.name] = value
     return files.withColumns(columns)
+
+
+def read_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """The rules of a text file, on any file system that Spark reads."""
+    rows = spark.read.text(path, wholetext=True).collect()  # one small file
+    return parse_rules("\n".join(r["value"] for r in rows))

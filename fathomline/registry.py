@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions import texts
+from fathomline.engine import Engine
+from fathomline.functions import messages, texts
 from fathomline.functions import vectors as vec
 from fathomline.operators import catalog, chunks, graph, search, store, worklist
 from fathomline.operators.embed import HashEmbedder, embed
@@ -43,6 +45,9 @@ def rounded(c: Column | str, digits: int = 6) -> Column:
 
 K = 10
 DIM = 64
+#: Cells looked at, and tables and bits of signatures: the vectors of the test table point in all directions, so many are
+#: needed for a recall of 0.9 (the tests measure it).
+PROBES, TABLES, BITS = 8, 16, 4
 
 # Vectors: the table embeddings, the vector of the smallest id as the query.
 
@@ -190,7 +195,7 @@ def subset_read(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def split_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Functions of all code documents by a scanner for each language; SQL can't express it."""
+    """Functions of all code documents by a scanner for each language; SQL can't express it, see functions_listed."""
     code = table(spark, d, "documents").where("doc_kind = 'code'").select("doc_id", "filepath", "text")
     return chunks.split_functions(code).select("doc_id", "start", "end", "chunk")
 
@@ -202,7 +207,7 @@ select doc_id, (1 + list_reduce(sizes, lambda a, n: case when a % 100000 + n >=
 @query(_PACKED)
 def batch_pack(spark: SparkSession, d: str) -> DataFrame:
     """Batches of each document's lines, packed up to 8192 bytes."""
-    packed = chunks.batches(chunks.keep_chunks(split_separator(spark, d)), "doc_id")
+    packed = chunks.batches(chunks.keep_chunks(split_separator(spark, d)), "doc_id", in_order=True)
     return packed.groupBy("doc_id").agg((F.max("batch_no") + 1).cast("bigint").alias("n_batches"))
 
 
@@ -336,14 +341,6 @@ def edit_file(spark: SparkSession, d: str) -> DataFrame:
     return store.replace_files(now, new)[0].select("id", "filepath")
 
 
-@query()
-def reblock_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Every id once, in blocks of 1024 by cell and distance; see tests for the invariants."""
-    e = embeddings(spark, d)
-    rows = e.select("id", F.concat(F.lit("f"), "label").alias("filepath"), "meta", "data")
-    return store.reblock(rows, search.mean_centroids(e, "label")).select("id", "block")
-
-
 # Embedding of texts.
 
 _SQL_TOKENS = """w as (select doc_id, unnest(regexp_split_to_array(lower(replace(text, chr(13) || chr(10), chr(10))), '[ \\t\\n\\r\\f]+')) as w from documents where text is not null),
@@ -471,17 +468,17 @@ def ivf_assign(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_SQL_CELLS}, x as (select q.id as qid, v.id, round(1 - list_dot_product(q.data, v.data), 12) as x
-  from nc q join nc v on q.cell = v.cell and v.r = 1 and q.r <= 3 where q.id % 50 = 0)
+  from nc q join nc v on q.cell = v.cell and v.r = 1 and q.r <= {PROBES} where q.id % 50 = 0)
 select qid, id, round(x, 6) + 0.0 as distance from (select *, row_number() over (partition by qid order by x, id) as r from x) where r <= {K}""")
 def ivf_search(spark: SparkSession, d: str) -> DataFrame:
     e = embeddings(spark, d)
     q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), "data")
-    return search.cell_search(q, e, search.mean_centroids(e, "label"), K, 3).withColumn("distance", rounded("distance"))
+    return search.cell_search(q, e, search.mean_centroids(e, "label"), K, PROBES).withColumn("distance", rounded("distance"))
 
 
 _SQL_SIGNS = f"""ev as (select vec_id as id, embedding::double[] as data from embeddings),
 pl as (select t, b, list(case when ('0x' || substr(md5(t || ':' || b || ':' || i), 1, 2))::int % 2 = 1 then 1.0::double else -1.0::double end order by i) as p
-  from unnest(range(0, 8)) a(t), unnest(range(0, 6)) bb(b), unnest(range(0, {DIM})) c(i) group by t, b),
+  from unnest(range(0, {TABLES})) a(t), unnest(range(0, {BITS})) bb(b), unnest(range(0, {DIM})) c(i) group by t, b),
 sg as (select id, t, sum(case when round(list_dot_product(data, p), 9) > 0 then (1 << b)::int else 0 end)::bigint as code from ev, pl group by id, t)"""
 
 
@@ -491,7 +488,7 @@ select qid, id, round(x, 6) + 0.0 as distance from (select *, row_number() over
 def lsh_search(spark: SparkSession, d: str) -> DataFrame:
     e = embeddings(spark, d).select("id", "data")
     q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), "data")
-    return search.signature_search(q, e, K, 8, 6, DIM).withColumn("distance", rounded("distance"))
+    return search.signature_search(q, e, K, TABLES, BITS, DIM).withColumn("distance", rounded("distance"))
 
 
 # Streams and files.
@@ -519,6 +516,128 @@ def block_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return blocks.read_blocks(spark, folder, DIM).select("id", "block", F.md5(shown).alias("data"))
 
 
+@query(f"with {_SQL_LINKS} select layer, src, dst from edges")
+def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The graph written to an index file in the shared folder and read again."""
+    e = embeddings(spark, d).select("id", "data")
+    path = f"{shared_folder(spark)}/index"
+    blocks.write_index(graph.build_graph(e)[1], path, e.count())
+    return blocks.read_index(spark, path).select("layer", "src", "dst")
+
+
+# The engine as a whole.
+
+ENGINE_RULES = """
+* --minlength 1 --maxlength 512 --alphanumeric true
+md --split "\\n"
+txt --naive --minlength 20
+"""
+_SQL_CUT = f"""f as (select filepath, {_SQL_EXT} as x, replace(text, chr(13) || chr(10), chr(10)) as text from version),
+l as (select filepath, generate_subscripts(string_split(text, chr(10)), 1) as k, unnest(string_split(text, chr(10))) as piece from f where x = 'md'),
+o as (select filepath, piece, coalesce(sum(length(piece) + 1) over (partition by filepath order by k rows between unbounded preceding and 1 preceding), 0)::bigint as s from l),
+c as (select filepath, s, piece, unnest(range(0, greatest(length(piece), 1), 8193)) as p from o),
+w as (select filepath, x, text, case x when 'txt' then 8192 else 512 end as size from f where x <> 'md'),
+y as (select *, unnest(range(0, length(text), size + 1)) as s from w where length(text) > 0),
+cut as (select filepath, (s + p)::bigint as "start", (s + least(p + 8192, length(piece)))::bigint as "end", substring(piece, (p + 1)::int, 8192) as chunk, 1 as least_length from c
+  union all select filepath, s::bigint, least(s + size, length(text))::bigint, substring(text, (s + 1)::int, size), case x when 'txt' then 20 else 1 end from y),
+chunks as (select filepath, "start", "end" from cut where chunk <> '' and "end" - "start" >= least_length and regexp_matches(chunk, '[\\p{{L}}\\p{{N}}\\s]') and regexp_matches(chunk, '[^ \\t\\n\\r\\f]'))"""
+_SQL_ROWS = 'select row_number() over (order by filepath, "start", "end") - 1 as id, * from chunks'
+
+
+def engine_of(spark: SparkSession) -> Engine:
+    return Engine(spark, shared_folder(spark), HashEmbedder(DIM), parse_rules(ENGINE_RULES))
+
+
+def engine_files(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).where("text is not null").select("filepath", "text", F.array(F.lit("tracked")).alias("meta"))
+
+
+def synced(engine: Engine, files: DataFrame) -> DataFrame:
+    return engine.sync_ledger(files.select("filepath", F.col("text").cast("binary").alias("content"), "meta"))
+
+
+def stored_rows(vectors: DataFrame) -> DataFrame:
+    return vectors.select("id", "filepath", F.col("subset.start").alias("start"), F.col("subset.end").alias("end"), "block")
+
+
+@query(f"with version as (select filepath, text from documents where text is not null), {_SQL_CUT} select id, filepath, \"start\", \"end\", (id // 1024)::bigint as block from ({_SQL_ROWS})")
+def engine_embed(spark: SparkSession, d: str) -> DataFrame:
+    """All documents catalogued, cut by rules, embedded and stored: every chunk once, ids dense and in order."""
+    engine, f = engine_of(spark), engine_files(spark, d)
+    synced(engine, f)
+    return stored_rows(engine.embed(f, full=True))
+
+
+@query(f"""with first as (with version as (select filepath, case when filepath like 'mosswick-core/%' then text || ' before' else text end as text from documents where text is not null and filepath not like 'fenmark-cli/%'), {_SQL_CUT} {_SQL_ROWS}),
+second as (with version as (select filepath, text from documents where text is not null and (filepath like 'mosswick-core/%' or filepath like 'fenmark-cli/%')), {_SQL_CUT} {_SQL_ROWS}),
+both_ as (select id, filepath, "start", "end" from first where filepath not like 'mosswick-core/%' union all select id + (select max(id) + 1 from first), filepath, "start", "end" from second)
+select *, (id // 1024)::bigint as block from both_""")
+def engine_sync(spark: SparkSession, d: str) -> DataFrame:
+    """A second sync and embedding after one root was edited and another one added: only their files are embedded, the
+    others keep their ids."""
+    engine, f = engine_of(spark), engine_files(spark, d)
+    edited_root = F.col("filepath").like("mosswick-core/%")
+    before = f.where("filepath not like 'fenmark-cli/%'").withColumn("text", F.when(edited_root, F.concat("text", F.lit(" before"))).otherwise(F.col("text")))
+    synced(engine, before)
+    engine.embed(before, full=True)
+    synced(engine, f)
+    return stored_rows(engine.embed(f))
+
+
+@query(f"""with {_SQL_LAST}, v as (select id, any_value(filepath) as filepath, any_value(meta) as meta from vectors where id is not null group by id)
+select id, array_to_string(coalesce(h.meta, v.meta), ',') as tags, true as in_full_block from v left join held h using (filepath)""")
+def reblock(spark: SparkSession, d: str) -> DataFrame:
+    """Every id once, with the ledger's tags, in blocks of which all but the last have 1024 rows."""
+    v = table(spark, d, "vectors").where("id is not null").groupBy("id").agg(*[F.any_value(c).alias(c) for c in ("filepath", "meta", "data")])
+    out = store.reblock(v, search.mean_centroids(embeddings(spark, d), "label"), held(spark, d))
+    sizes = out.groupBy("block").count()
+    last, n = sizes.agg(F.max("block").alias("last")), sizes.agg(F.sum("count").alias("n"))
+    good = sizes.crossJoin(last).crossJoin(n).select("block", (F.col("count") == F.when(F.col("block") < F.col("last"), store.BLOCK_ROWS).otherwise(F.col("n") - F.col("last") * store.BLOCK_ROWS)).alias("in_full_block"))  # one row each
+    return out.join(good, "block").select("id", F.array_join("meta", ",").alias("tags"), "in_full_block")
+
+
+@query(f"with {_SQL_NOW} select filepath, hash, array_to_string(list_sort(list_distinct(list_filter(meta, lambda m: m is not null))), ',') as tags from now")
+def ledger_sync(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null")
+    f = docs.select("filepath", F.col("text").cast("binary").alias("content"), F.array_compact(F.array(F.trim(F.lower("lang")), "source")).alias("meta"))
+    return engine_of(spark).sync_ledger(f).select("filepath", "hash", F.array_join("meta", ",").alias("tags"))
+
+
+@query("select distinct id, filepath from vectors where id % 50 = 0")
+def access_by_id(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "vectors").select("id", "filepath").distinct()
+    return store.by_ids(v, v.where("id % 50 = 0").select("id"))
+
+
+@query("select s.root, count(d.filepath) as kept from (select distinct root from sources) s left join documents d on split_part(d.filepath, '/', 1) = s.root group by 1")
+def kept_per_root(spark: SparkSession, d: str) -> DataFrame:
+    return files.kept_counts(documents(spark, d), table(spark, d, "sources"))
+
+
+@query("select distinct query_id, 10::bigint as k, text, array_to_string(filters, ',') as filters from query_log where text is not null and filters is not null")
+def message_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The logged queries as JSON requests, and what is read from these."""
+    q = table(spark, d, "query_log").where("text is not null and filters is not null").select("query_id", "text", "filters").distinct()
+    payload = F.struct(F.lit(K).alias("k"), F.col("text").alias("query"), "filters")
+    sent = q.select("query_id", F.to_json(F.struct(F.lit("query").alias("message_type"), payload.alias("payload"))).alias("json"))
+    p = messages.request(F.col("json"))["payload"]
+    return sent.select("query_id", p["k"].alias("k"), p["query"].alias("text"), F.array_join(p["filters"], ",").alias("filters"))
+
+
+@query(f"""select distinct def_id from function_defs f join documents d using (filepath) where doc_kind = 'code' and begin_pos >= 0 and begin_pos < end_pos and end_pos <= strlen(text)
+and end_pos - begin_pos <= 8192 and {_SQL_EXT} in ('rs', 'py', 'js', 'ts')""")
+def functions_listed(spark: SparkSession, d: str) -> DataFrame:
+    """The listed functions that come out of the splitter as one chunk: start and end are those of the list, converted from
+    bytes of the text as stored to characters of the text with line feeds."""
+    code = table(spark, d, "documents").where("doc_kind = 'code'").select("doc_id", "filepath", "text")
+    found = chunks.split_functions(code).select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    defs = table(spark, d, "function_defs").select("def_id", "filepath", "begin_pos", "end_pos").distinct()
+    inside = defs.join(code, "filepath").where("begin_pos >= 0 and begin_pos < end_pos and end_pos <= octet_length(text) and end_pos - begin_pos <= 8192")
+    at = lambda c: F.length(texts.line_feeds(F.decode(F.expr(f"substring(encode(text, 'UTF-8'), 1, int({c}))"), "UTF-8"))).cast("bigint")
+    listed = inside.where(texts.extension(F.col("filepath")).isin("rs", "py", "js", "ts")).select("def_id", "doc_id", at("begin_pos").alias("s"), at("end_pos").alias("e"))
+    return listed.join(found, ["doc_id", "s", "e"], "left_semi").select("def_id").distinct()
+
+
 # Problem 3. Paths as in the tables: rewriting of `//`, `/./`, `./` at the start and `name/../`.
 _SQL_PATH = "regexp_replace(regexp_replace(regexp_replace(filepath, '(^|/)(\\./)+', '\\1', 'g'), '/+', '/', 'g'), '[^/]+/\\.\\./', '', 'g')"
 _SQL_HASH = "nullif(regexp_extract(lower(trim(hash)), '^(?:sha256:)?([0-9a-f]{64})$', 1), '')"
@@ -544,6 +663,19 @@ def p3_work_items(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select filepath, hash from ({_SQL_WORK}) where state <> 'done'")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_work_items(spark, d).where("state <> 'done'").select("filepath", "hash")
-
-
+    """What the next run's lease takes."""
+    return worklist.next_run(spark, shared_folder(spark), table(spark, d, "scan_log"), table(spark, d, "ledger"), table(spark, d, "sync_runs"))[2]
+
+
+@query(f"""select filepath, hash, case when hash < '8' then 'done' else 'leased' end as state,
+(select max(run_id) from sync_runs) + case when hash < '8' then 1 else 2 end as token from ({_SQL_WORK}) where state <> 'done'""")
+def p3_take_over(spark: SparkSession, d: str) -> DataFrame:
+    """A run that dies half way: it commits half of its items in two portions; after its lease has expired another run takes
+    over the rest, and what the first one commits then doesn't count."""
+    work, token, items, now = worklist.next_run(spark, shared_folder(spark), table(spark, d, "scan_log"), table(spark, d, "ledger"), table(spark, d, "sync_runs"))
+    for portion in ("hash < '4'", "hash >= '4' and hash < '8'"):
+        work.commit(token, items.where(portion), now)
+    late = now + dt.timedelta(seconds=worklist.LEASE_SECONDS)
+    work.lease(late, worklist.LEASE_SECONDS)
+    work.commit(token, items, late)
+    return work.states(late).join(items, ["filepath", "hash"], "left_semi")

@@ -9,3 +9,5 @@ RULES = "extension string, ord int, rule_type string, value string"
 CHUNKS = f"filepath string, meta array<string>, subset {SUBSET}, chunk string"
 VECTORS = f"id bigint, filepath string, meta array<string>, subset {SUBSET}, block bigint, data array<float>"
 EDGES = "layer int, src bigint, dst bigint, dist double"
+QUERIES = "at bigint, text string"
+REQUEST = "message_type string, payload struct<k:bigint,query:string,filters:array<string>,filepath:string>"

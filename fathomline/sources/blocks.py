@@ -8,18 +8,20 @@ and of each layer u32 count of nodes with u64 id, u32 degree and (u64 id, f32 di
 
 from __future__ import annotations
 
-import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fathomline.functions.vectors import normalise
 from fathomline.schemas import EDGES, VECTORS
+from fathomline.sources.files import file_system
 
 #: Vectors of a block.
 BLOCK_ROWS = 1024
@@ -96,37 +98,41 @@ def encode_index(size: int, layers: list[dict[int, list[tuple[int, float]]]]) ->
 
 
 class BlockDataSource(DataSource):
-    """`spark.read.format("embblock").option("dim", 1536).load(folder)`: one task for each file with a numeric name."""
+    """`spark.read.format("embblock").option("dim", 1536).load(folder)`: one task for each file with a numeric name. The option
+    `file` adds a column of that name with the file's path. Any file system that Arrow knows."""
 
     @classmethod
     def name(cls) -> str:
         return "embblock"
 
     def schema(self) -> str:
-        return VECTORS
+        return VECTORS + (", file string" if self.options.get("file") == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
-        return _BlockReader(self.options["path"], int(self.options.get("dim", 1536)), self.options.get("blocks"))
+        return _BlockReader(self.options["path"], int(self.options.get("dim", 1536)), self.options.get("blocks"), self.options.get("file") == "true")
 
 
 class _BlockReader(DataSourceReader):
-    def __init__(self, path: str, dim: int, blocks: str | None) -> None:
-        self.path, self.dim = path, dim
+    def __init__(self, path: str, dim: int, blocks: str | None, with_file: bool) -> None:
+        self.path, self.dim, self.with_file = path, dim, with_file
         self.only = {b.strip() for b in blocks.split(",")} if blocks else None
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted((n for n in os.listdir(self.path) if n.isdigit() and (self.only is None or n in self.only)), key=int)
-        return [InputPartition(os.path.join(self.path, n)) for n in names]
+        fs, folder = file_system(self.path)
+        names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(folder)) if i.base_name.isdigit() and (self.only is None or i.base_name in self.only)]
+        return [InputPartition(n) for n in sorted(names, key=int)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            yield from decode_block(f.read(), self.dim)
+        fs, folder = file_system(self.path)
+        with fs.open_input_stream(f"{folder}/{partition.value}") as f:
+            for row in decode_block(f.read(), self.dim):
+                yield (*row, f"{folder}/{partition.value}") if self.with_file else row
 
 
-def read_blocks(spark: SparkSession, folder: str, dim: int, blocks: list[int] | None = None, unit: bool = False) -> DataFrame:
-    """Vectors of all block files of a folder, or of some; unit: with vectors of length 1."""
+def read_blocks(spark: SparkSession, folder: str, dim: int, blocks: list[int] | None = None, unit: bool = False, with_file: bool = False) -> DataFrame:
+    """Vectors of all block files of a folder, or of some; unit: with vectors of length 1; with_file: and the file's path."""
     spark.dataSource.register(BlockDataSource)
-    reader = spark.read.format("embblock").option("dim", dim)
+    reader = spark.read.format("embblock").option("dim", dim).option("file", "true" if with_file else "false")
     if blocks is not None:
         reader = reader.option("blocks", ",".join(map(str, blocks)) or "none")
     df = reader.load(folder)
@@ -134,19 +140,44 @@ def read_blocks(spark: SparkSession, folder: str, dim: int, blocks: list[int] |
 
 
 def write_blocks(vectors: DataFrame, folder: str) -> None:
-    """A file for each block, written where its rows are; a file of the same name is replaced as a whole."""
-    os.makedirs(folder, exist_ok=True)
+    """The store as a file for each block, written where its rows are and named when it is whole; then files of blocks that
+    are no more are deleted."""
+    fs, at = file_system(folder)
+    fs.create_dir(at, recursive=True)
 
     def write(table: pa.Table) -> pa.Table:
+        fs, at = file_system(folder)
         rows = sorted(table.to_pylist(), key=lambda r: r["id"])
         block = rows[0]["block"]
-        temporary = os.path.join(folder, f".{block}.{os.getpid()}")
-        with open(temporary, "wb") as f:
+        temporary = f"{at}/.{block}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(temporary) as f:
             f.write(encode_block(block, rows))
-        os.replace(temporary, os.path.join(folder, str(block)))
+        fs.move(temporary, f"{at}/{block}")
         return table.select(["block"]).slice(0, 1)
 
-    vectors.select(*[c.split()[0] for c in ("id", "filepath", "meta", "subset", "block", "data")]).groupBy("block").applyInArrow(write, "block bigint").count()
+    columns = [c.split()[0] for c in ("id", "filepath", "meta", "subset", "block", "data")]
+    written = {str(r["block"]) for r in vectors.select(*columns).groupBy("block").applyInArrow(write, "block bigint").collect()}  # a number of each block
+    for info in fs.get_file_info(pafs.FileSelector(at)):
+        if info.base_name.isdigit() and info.base_name not in written:
+            fs.delete_file(info.path)
+
+
+def write_index(edges: DataFrame, path: str, size: int) -> None:
+    """edges (layer, src, dst, dist) as one index file, which is what the format is. The layers' counts come first; then the
+    nodes pass through the driver one by one, in order."""
+    fs, at = file_system(path)
+    nodes = edges.groupBy("layer", "src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("links"))
+    counts = {r["layer"]: r["count"] for r in nodes.groupBy("layer").count().collect()}
+    layers = range(max(counts, default=-1) + 1)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    temporary = f"{at}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary) as f:
+        f.write(struct.pack(">II", size, len(layers)))
+        for layer in layers:
+            f.write(struct.pack(">I", counts.get(layer, 0)))
+            for r in nodes.where(F.col("layer") == layer).orderBy("src").toLocalIterator() if layer in counts else ():
+                f.write(struct.pack(">QI", r["src"], len(r["links"])) + b"".join(struct.pack(">Qf", e["dst"], e["dist"]) for e in r["links"]))
+    fs.move(temporary, at)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

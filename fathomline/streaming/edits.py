@@ -4,43 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def newest(edits: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last edit of each key."""
-    w = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
-    return edits.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last edit of each key: reduced before it is shuffled, so a key of any share of the edits makes no hot task."""
+    rest = [c for c in edits.columns if c not in (key, *order)]
+    last = edits.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_m"))
+    return last.select(*[F.col(c) if c == key else F.col(f"_m.{c}").alias(c) for c in edits.columns])
 
 
 class EditTable:
-    """A table of the last edit of each key, written by a stream. Every micro-batch writes a new version under its own
-    number, from the version before and the batch; a repeated batch writes the same version again, so a restart neither
-    loses nor repeats an edit. Readers take the largest finished version."""
+    """A table of the last edit of each key, written by a stream as a log with a compacted base.
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, order: list[str]) -> None:
-        self.spark, self.folder, self.key, self.order = spark, folder.rstrip("/"), key, order
+    A micro-batch writes only its own last edits, as a delta under its number; a repeated batch writes the same delta again,
+    so a restart neither loses nor repeats an edit. Every `compact_every` batches base and deltas become a new base, and what
+    it replaces is deleted once it is whole, but for the one before, which readers may still have open. Readers take the
+    largest finished base and the deltas after it; of each key the last edit counts.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, order: list[str], compact_every: int = 16) -> None:
+        self.spark, self.folder, self.key, self.order, self.compact_every = spark, folder.rstrip("/"), key, order, compact_every
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._path, self._fs = path, path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
+    def _finished(self, kind: str) -> list[int]:
         if not self._fs.exists(self._path(self.folder)):
             return []
-        found = []
-        for s in self._fs.listStatus(self._path(self.folder)):
-            name = s.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and self._fs.exists(self._path(f"{self.folder}/{name}/_SUCCESS")):
-                found.append(int(name[1:]))
-        return sorted(found)
-
-    def read(self, below: int | None = None) -> DataFrame | None:
-        v = [x for x in self.versions() if below is None or x < below]
-        return self.spark.read.parquet(f"{self.folder}/v{v[-1]}") if v else None
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
+        found = [int(n[len(kind) :]) for n in names if n.startswith(kind) and n[len(kind) :].isdigit()]
+        return sorted(n for n in found if self._fs.exists(self._path(f"{self.folder}/{kind}{n}/_SUCCESS")))
+
+    def read(self) -> DataFrame | None:
+        bases = self._finished("base-")
+        deltas = [n for n in self._finished("delta-") if not bases or n > bases[-1]]
+        paths = [f"{self.folder}/base-{n}" for n in bases[-1:]] + [f"{self.folder}/delta-{n}" for n in deltas]
+        if not paths:
+            return None
+        df = self.spark.read.parquet(*paths)
+        return newest(df, self.key, self.order) if deltas else df
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        old = self.read(below=number)
-        both = batch if old is None else old.unionByName(batch)
-        newest(both, self.key, self.order).write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+        newest(batch, self.key, self.order).write.mode("overwrite").parquet(f"{self.folder}/delta-{number}")
+        deltas, bases = self._finished("delta-"), self._finished("base-")
+        if len([n for n in deltas if not bases or n > bases[-1]]) >= self.compact_every:
+            self.read().write.mode("overwrite").parquet(f"{self.folder}/base-{number}")
+            for kind, old in [*(("base-", n) for n in bases[:-1]), *(("delta-", n) for n in deltas if bases and n <= bases[-1])]:
+                self._fs.delete(self._path(f"{self.folder}/{kind}{old}"), True)
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         """Apply all that is there now and return."""

@@ -3,6 +3,7 @@
 import random
 import string
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,9 +43,36 @@ def test_separator_offsets_name_the_chunks(spark):
             t = texts[r["i"]].replace("\r\n", "\n")
             assert t[r["start"] : r["end"]] == r["chunk"] and len(r["chunk"]) <= chunks.MOST
             assert sep not in r["chunk"]
-    assert [(s, e) for s, e in chunks.separator_spans("a--bc----", "--")] == [(0, 1), (3, 5), (7, 7), (9, 9)]
+    rows_, starts, ends, flat = chunks.separator_spans(pa.array(["a--bc----", "", "xy"]), "--")
+    assert list(zip(rows_.tolist(), starts.tolist(), ends.tolist(), flat.to_pylist())) == [(0, 0, 1, "a"), (0, 3, 5, "bc"), (0, 7, 7, ""), (0, 9, 9, ""), (1, 0, 0, ""), (2, 0, 2, "xy")]
 
 
+def spans_by_hand(text, separator, most):
+    at = 0
+    for piece in text.split(separator):
+        k, n = 0, len(piece)
+        yield at, at + min(n, most)
+        for k in range(most + len(separator), n, most + len(separator)):
+            yield at + k, at + min(k + most, n)
+        at += n + len(separator)
+
+
+def test_separator_spans_equal_a_loop():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab;é\n") for _ in range(rng.randint(0, 200))) for _ in range(100)] + ["x" * 50, ";" * 9]
+    for sep, most in ((";", 8), ("ab", 5), ("\n", 3)):
+        found = chunks.separator_spans(pa.array(texts), sep, most)
+        got = list(zip(*(x.tolist() for x in found[:3]), found[3].to_pylist()))
+        assert got == [(i, s, e, t[s:e]) for i, t in enumerate(texts) for s, e in spans_by_hand(t, sep, most)]
+
+
+def test_one_pass_for_all_splitters(spark):
+    rows_ = [("a.rs", "code", "function", RUST), ("b.md", "split", "\n", "x\r\ny"), ("c", "naive", None, "n" * 9000), ("d", "maxlength", "4", "123456789"), ("e", "split", ";", "p;q"), ("f", "naive", None, None), (None, "code", "function", "z")]
+    df = spark.createDataFrame(rows_, "filepath string, splitter string, splitter_value string, text string")
+    got = rows(chunks.split_by(df).where("filepath <> 'a.rs'"), "filepath", "start", "end")
+    assert got == [("b.md", 0, 1), ("b.md", 2, 3), ("c", 0, 8192), ("c", 8193, 9000), ("d", 0, 4), ("d", 5, 9), ("e", 0, 1), ("e", 2, 3)]
+    assert chunks.split_by(df).where("filepath = 'a.rs'").count() == 3 and chunks.split_by(df.limit(0)).count() == 0
+
 def test_code_points_and_null(spark):
     df = spark.createDataFrame([(1, "aébc日本" * 3), (2, ""), (3, None)], "i int, text string")
     out = chunks.split_max_length(df, 4, drop_boundary=False).where("i = 1").orderBy("start").collect()
@@ -70,10 +98,30 @@ def test_subset_read(spark):
     assert [r["chunk"] for r in chunks.read_subset(df).collect()] == ["bé", "xyz", "yz", None, ""]
 
 
-def test_batches(spark):
-    assert chunks.pack_sizes([4000, 4000, 191, 1, 9000, 1], 8192) == [0, 0, 0, 1, 2, 3]
-    df = spark.createDataFrame([("f", 0, 4, "aaaa"), ("f", 4, 8, "bbbb"), ("f", 8, 9, "c"), ("g", 0, 1, "d")], "filepath string, start bigint, `end` bigint, chunk string")
-    assert rows(chunks.batches(df, budget=8), "filepath", "start", "batch_no") == [("f", 0, 0), ("f", 4, 1), ("f", 8, 1), ("g", 0, 0)]
+def packed(sizes, budget):
+    out, no, total = [], 0, 0
+    for b in sizes:
+        if out and total + b >= budget:
+            no, total = no + 1, 0
+        total += b
+        out.append(no)
+    return out
+
+
+@pytest.mark.parametrize("in_order", [False, True])
+def test_batches(spark, in_order):
+    assert packed([4000, 4000, 191, 1, 9000, 1], 8192) == [0, 0, 0, 1, 2, 3]
+    df = spark.createDataFrame([("f", 0, 4, "aaaa"), ("f", 4, 8, "bbbb"), ("f", 8, 9, "c"), ("f", 8, 9, "c"), ("g", 0, 1, "d"), (None, 0, 1, "d")], "filepath string, start bigint, `end` bigint, chunk string").coalesce(1)
+    got = {tuple(r) for r in chunks.batches(df, budget=8, in_order=in_order).select("filepath", "start", "batch_no").collect()}
+    assert got == {("f", 0, 0), ("f", 4, 1), ("f", 8, 1), ("g", 0, 0), (None, 0, 0)}
+    rng = random.Random(5)
+    sizes = {f"s{i}": [rng.randint(1, 60) for _ in range(rng.randint(1, 50))] for i in range(20)}
+    df = spark.createDataFrame([(s, k, k + 1, "é" * (b // 2) + "x" * (b % 2)) for s, bs in sizes.items() for k, b in enumerate(bs)], "filepath string, start bigint, `end` bigint, chunk string")
+    got = {}
+    for r in chunks.batches(df if in_order else df.repartition(7), budget=100, in_order=in_order and df.rdd.getNumPartitions() == 1).orderBy("filepath", "start").collect():
+        got.setdefault(r["filepath"], []).append(r["batch_no"])
+    assert got == {s: packed(bs, 100) for s, bs in sizes.items()}
+    assert chunks.batches(df.limit(0)).count() == 0
 
 
 RUST = 'pub fn a(x: &str) -> u8 {\n    // }\n    let s = "}";\n    fn inner() {}\n    1\n}\nstruct S;\ntrait T { fn b(&self); }\n'
@@ -97,15 +145,10 @@ def test_function_spans(text, ext, want):
     assert sorted(text[s:e] for s, e in chunks.function_spans(text, ext)) == sorted(want)
 
 
-def test_split_functions_of_documents_match_listed_functions(spark):
-    d = "/root/testdata/sf0.01"
-    code = spark.read.parquet(f"{d}/documents.parquet").where("doc_kind = 'code' and octet_length(text) = length(text)")
-    defs = spark.read.parquet(f"{d}/function_defs.parquet").where("begin_pos < end_pos").select("filepath", "begin_pos", "end_pos").distinct()
-    inside = defs.join(code, "filepath").where("end_pos <= length(text) and begin_pos >= 0 and end_pos - begin_pos < 8192")
-    got = chunks.split_functions(code.select("filepath", "text")).select("filepath", F.col("start").alias("begin_pos"))
-    want = inside.select("filepath", "begin_pos", "end_pos")
-    missing = want.join(got, ["filepath", "begin_pos"], "left_anti").count()
-    assert missing <= 0.1 * want.count()
+def test_functions_under_headers_of_one_depth():
+    text = "def a(x):\ndef b(y):\n    if y:\n        return 1\n    return 2\n    z = 3\n    return 4\n\ndef c(x):\n    return (\n"
+    want = [text[: text.index("\n\n")], text[text.index("def b") : text.index("\n    z")], text[text.index("def c") :].rstrip()]
+    assert sorted(text[s:e] for s, e in chunks.function_spans(text, "py")) == sorted(want)
 
 
 def test_rules(spark):

@@ -1,16 +1,21 @@
 """Search, graph, store, sources and the engine as a whole."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomline import registry
 from fathomline.engine import Engine
-from fathomline.operators import catalog, graph, search, store, worklist
+from fathomline.functions import messages
+from fathomline.operators import catalog, cells, graph, search, store, worklist
 from fathomline.operators.embed import HashEmbedder, embed
-from fathomline.plans.rules import parse_rules
+from fathomline.plans.rules import parse_rules, read_rules
+from fathomline.schemas import VECTORS
 from fathomline.sources import blocks, files
+from fathomline.streaming.edits import EditTable
 
 VEC = "id bigint, data array<float>, meta array<string>"
 
@@ -56,10 +61,14 @@ def test_cells_and_signatures_find_most(spark):
     codes = {(r["qid"], r["id"]) for r in search.signature_search(q, df, 10, 8, 6, 16).collect()}
     assert len(exact & cells) >= 0.95 * len(exact) and len(exact & codes) >= 0.9 * len(exact)
     members, edges = graph.build_graph(df.select("id", "data"))
-    walked = {(r["qid"], r["id"]) for r in graph.graph_search(q, df, members, edges, 10, beam=24, hops=4).collect()}
-    assert len(exact & walked) >= 0.9 * len(exact)
-    some = {r["id"] for r in graph.graph_search(q, df, members, edges, 10, beam=16, hops=2, predicate=F.col("id") % 2 == 0).collect()}
+    for nodes in (65_536, 150):
+        walked = {(r["qid"], r["id"]) for r in graph.graph_search(q, df, members, edges, 10, shard_nodes=nodes).collect()}
+        assert len(exact & walked) >= 0.9 * len(exact)
+    some = {r["id"] for r in graph.graph_search(q, df, members, edges, 10, beam=16, predicate=F.col("id") % 2 == 0).collect()}
     assert some and all(i % 2 == 0 for i in some)
+    assert graph.graph_search(q.limit(0), df, members, edges, 10).count() == 0
+    few = graph.graph_search(q, df, members, edges, 10, budget=20).groupBy("qid").count().collect()
+    assert few and all(r["count"] <= 10 for r in few)
 
 
 def test_graph_parameters_and_removal(spark):
@@ -81,6 +90,69 @@ def test_ids_are_dense_and_ordered_over_partitions(spark):
     assert store.assign_ids(df.limit(0), "v").count() == 0
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_with_a_payload_lose_no_row(spark, tmp_path, adaptive):
+    # Wide rows, many partitions, and a write: a count would prune the payload.
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.range(0, 30_000).select((F.col("id") * 7919 % 30_000).alias("v"), F.repeat(F.md5(F.col("id").cast("string")), F.lit(32)).alias("payload"))
+        store.assign_ids(df, "v", first=3).write.parquet(f"{tmp_path}/out")
+        got = spark.read.parquet(f"{tmp_path}/out")
+        assert got.count() == 30_000 == got.select("id").distinct().count() and got.where("id <> v + 3").count() == 0
+        vectors = df.select(F.col("v").alias("id"), F.col("payload").alias("filepath"), F.array(F.lit("m")).alias("meta"), F.array(F.cos("v"), F.sin("v")).cast("array<float>").alias("data"))
+        centroids = spark.createDataFrame([(c, [float(np.cos(c)), float(np.sin(c))]) for c in range(6)], "cell bigint, centroid array<double>")
+        store.reblock(vectors, centroids).write.parquet(f"{tmp_path}/blocks")
+        back = spark.read.parquet(f"{tmp_path}/blocks")
+        sizes = sorted(r["count"] for r in back.groupBy("block").count().collect())
+        assert back.count() == 30_000 == back.select("id").distinct().count() and sizes == [30_000 % 1024] + [1024] * 29
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_store_by_id_and_stale_blocks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"f{i}", ["t"], None, i // 4, [1.0, float(i)]) for i in range(10)], VECTORS)
+    store.write_vectors(rows, f"{tmp_path}/s")
+    store.write_vectors(rows.where("block < 2"), f"{tmp_path}/s")
+    assert sorted(r["id"] for r in store.read_vectors(spark, f"{tmp_path}/s").collect()) == list(range(8))
+    assert sorted(r["id"] for r in store.read_vectors(spark, f"{tmp_path}/s", [1]).collect()) == [4, 5, 6, 7]
+    assert [r["filepath"] for r in store.by_ids(rows, [3, 3, 99]).collect()] == ["f3"] and store.by_ids(rows, []).count() == 0
+    assert [tuple(r) for r in store.blocks_of(rows, spark.createDataFrame([(9,), (9,), (None,)], "id bigint")).collect()] == [(9, 2)]
+    blocks.write_blocks(rows, str(tmp_path / "b"))
+    blocks.write_blocks(rows.where("block <> 1"), str(tmp_path / "b"))
+    assert {(r["block"], r["file"].rpartition("/")[2]) for r in blocks.read_blocks(spark, str(tmp_path / "b"), 2, with_file=True).collect()} == {(0, "0"), (2, "2")}
+
+
+def test_links_through_cells_find_most(spark, monkeypatch):
+    x = np.concatenate([unit_rows(1500, 16, 4), np.repeat(unit_rows(1, 16, 9), 500, axis=0)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, None), (9001, []), (9002, [1.0]), (9003, [float("nan")] * 16), (None, [1.0] * 16), (7, [float(v) for v in x[7]])], "id bigint, data array<float>")
+    f32 = x.astype(np.float32).astype(float)
+    d = np.round(1 - f32 @ f32.T, 12)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:5]}
+    for size, part, least in ((4096, 16_384, 1.0), (100, 16_384, 0.9), (100, 40, 0.9)):
+        monkeypatch.setattr(cells, "CELL_ROWS", size)
+        monkeypatch.setattr(cells, "PART_ROWS", part)
+        got = [(r["src"], r["dst"]) for r in cells.all_links(df, 5).collect()]
+        assert len(got) == len(set(got)) and len(set(got) & want) >= least * len(want)
+    layered = df.withColumn("layer", F.when(F.col("id") % 3 == 0, 0).otherwise(1))
+    both = cells.all_links(layered, 5, by="layer").collect()
+    assert {r["layer"] for r in both} == {0, 1} and all((r["src"] % 3 == 0) == (r["dst"] % 3 == 0) == (r["layer"] == 0) for r in both)
+    assert cells.all_links(df.limit(0), 5).count() == 0 == cells.all_links(df, 0).count()
+    c = cells.fit(f32, 300)  # two levels
+    assert len(c) > 250 and np.isfinite(c).all()
+
+
+def test_recall_of_cells_and_signatures_on_the_test_table(spark):
+    e = registry.embeddings(spark, "/root/testdata/sf0.1")
+    q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), "data")
+    pairs = lambda df: {(r["qid"], r["id"]) for r in df.collect()}
+    exact = pairs(search.knn(q, e, 10))
+    for name in ("ivf_search", "lsh_search", "graph_search"):
+        assert len(exact & pairs(registry.QUERIES[name](spark, "/root/testdata/sf0.1"))) >= 0.9 * len(exact), name
+
+
 def test_upsert_directory_and_reblock(spark):
     rows = spark.createDataFrame([(i, f"f{i % 10}", [f"t{i % 3}"], [float(v) for v in r]) for i, r in enumerate(unit_rows(50))], "id bigint, filepath string, meta array<string>, data array<float>")
     new = rows.where("filepath = 'f1'").withColumn("id", F.col("id") + 1000)
@@ -107,6 +179,9 @@ def test_blocks_round_trip(spark, tmp_path):
     assert [round(x, 6) for x in blocks.read_blocks(spark, str(tmp_path / "b"), 2, [1], unit=True).head()["data"]] == [0.6, 0.8]
     (tmp_path / "index").write_bytes(blocks.encode_index(2, [{1: [(2, 0.5)]}, {1: [(2, 0.5)], 2: [(1, 0.5)]}]))
     assert blocks.read_index(spark, str(tmp_path / "index")).count() == 3
+    edges = blocks.read_index(spark, str(tmp_path / "index"))
+    blocks.write_index(edges, str(tmp_path / "again"), 2)
+    assert (tmp_path / "again").read_bytes() == (tmp_path / "index").read_bytes()
 
 
 @pytest.fixture
@@ -121,10 +196,15 @@ def tree(tmp_path):
     return root
 
 
+def read_all(spark, tree):
+    return files.read_tree(spark, str(tree))
+
+
 def test_engine_end_to_end(spark, tree, tmp_path):
-    (tmp_path / "roots").write_text(f"# comment\n{tree} --rust --code\n{tree} --tracked\nbad line here\n")
+    (tmp_path / "roots").write_text(f"# comment\n{tree} --rust --code\n{tree} --tracked\nbad line here\n{tree}/missing --rust\n")
     roots = files.read_sources(spark, str(tmp_path / "roots")).collect()
     assert [(r["root"], r["meta"]) for r in roots] == [(str(tree), ["code", "rust", "tracked"])]
+    assert {r["root"]: r["kept"] for r in files.kept_counts(read_all(spark, tree), spark.createDataFrame([(str(tree),), ("/none",), (None,)], "root string")).collect()} == {str(tree): 8, "/none": 0}
 
     def read():
         f = files.tracked(files.read_tree(spark, str(tree)), files.ignore_files(str(tree)))
@@ -140,6 +220,13 @@ def test_engine_end_to_end(spark, tree, tmp_path):
     hits = engine.search("testing", 10, ["has rust"]).collect()
     assert len(hits) == 10 and hits[0]["subset"].end == 512
     assert engine.search("testing", 10, ["eq rust"]).count() == 0
+    assert engine.count() == 80 and engine.get([3]).head()["id"] == 3
+    said = json.loads(engine.handle('{"message_type": "query", "payload": {"k": 2, "query": "testing", "filters": ["has rust"]}}'))
+    assert [(x["filepath"], x["subset"]) for x in said["results"]] == [(h["filepath"], [h["subset"].start, h["subset"].end]) for h in hits[:2]]
+    assert [r["text"] for r in engine.queries.collect()] == ["testing"]
+    for bad in ("{}", "nonsense", '{"message_type": "edit", "payload": {}}'):
+        with pytest.raises(ValueError):
+            messages.parse_request(spark, bad)
     # A changed and a new file: only their vectors are new, the others keep their ids.
     before = {r["id"] for r in v.where(~F.col("filepath").endswith("/a.rs")).collect()}
     (tree / "a.rs").write_text("changed words here")
@@ -211,14 +298,102 @@ def test_work_ledger_survives_expiry_retries_and_stale_writers(spark, tmp_path):
     assert states(now) == {("a", "pending"), ("b", "pending")}
     first, taken = ledger.lease(now, 60, most=1)
     assert [r["filepath"] for r in taken.collect()] == ["a"] and states(now) == {("a", "leased"), ("b", "pending")}
-    # The first worker dies; after expiry another takes over, and the first one's late commit is rejected.
+    # The first worker dies; after expiry another takes over, and the first one's late commit doesn't count.
     late = now + dt.timedelta(seconds=61)
     assert states(late) == {("a", "pending"), ("b", "pending")}
     second, taken = ledger.lease(late, 60)
     assert second > first and taken.count() == 2
     assert [r["accepted"] for r in ledger.commit(first, items.where("filepath = 'a'"), late).collect()] == [False]
-    for _ in range(2):  # a retry writes the same files
+    for _ in range(2):  # a retry finds its file
         assert all(r["accepted"] for r in ledger.commit(second, items.where("filepath = 'a'"), late).collect())
     assert states(late) == {("a", "done"), ("b", "leased")}
-    assert ledger.lease(late + dt.timedelta(seconds=90), 60)[1].count() == 1
+    # What was committed first stays done when the rest is committed.
+    assert all(r["accepted"] for r in ledger.commit(second, items.where("filepath = 'b'"), late).collect())
+    assert states(late + dt.timedelta(days=1)) == {("a", "done"), ("b", "done")}
+    assert ledger.lease(late + dt.timedelta(seconds=90), 60)[1].count() == 0
+    assert ledger.commit(second, items.limit(0), late).count() == 0
+    # A file that changes is offered again; one that goes back to an older content too.
+    for n, content in enumerate(("9", "1")):
+        at = late + dt.timedelta(hours=n + 1)
+        ledger.add(spark.createDataFrame([("a", content)], "filepath string, hash string"), f"later{n}", at)
+        assert states(at) == {("a", "pending"), ("b", "done")}
+        token, _ = ledger.lease(at, 60)
+        ledger.commit(token, spark.createDataFrame([("a", content)], "filepath string, hash string"), at)
+        assert states(at) == {("a", "done"), ("b", "done")}
     assert ledger.output_path("a") == ledger.output_path("a") != ledger.output_path("b")
+
+
+def test_a_lease_before_a_commit_fences_it_whenever_it_is_written(spark):
+    t = lambda s: dt.datetime(2025, 1, 1, 0, 0, s)
+    items = spark.createDataFrame([(x, "1", None) for x in "abcd"], worklist.ITEMS)
+    events = spark.createDataFrame(
+        [
+            ("a", "1", 1, "lease", t(1), t(9)), ("a", "1", 1, "done", t(5), None), ("a", "1", 2, "lease", t(4), t(30)),  # overtaken
+            ("b", "1", 1, "lease", t(1), t(9)), ("b", "1", 1, "done", t(5), None), ("b", "1", 2, "lease", t(6), t(30)),  # leased once more afterwards
+            ("c", "1", 1, "done", t(5), None), ("c", "1", 2, "lease", None, t(30)), ("c", "0", 3, "lease", t(1), t(30)), ("d", "1", 1, "lease", t(1), t(9)), (None, "1", 5, "done", t(1), None),
+        ],
+        worklist.EVENTS,
+    )
+    got = {r["filepath"]: (r["state"], r["token"]) for r in worklist.fold(items, events, F.lit(t(20))).collect()}
+    assert got == {"a": ("leased", 2), "b": ("done", 1), "c": ("leased", 2), "d": ("pending", None)}
+
+
+@pytest.mark.parametrize("dies_at", range(1, 5))
+def test_a_worker_that_dies_at_a_write_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, dies_at):
+    now = dt.datetime(2025, 1, 1)
+    ledger = worklist.WorkLedger(spark, str(tmp_path))
+    items = spark.createDataFrame([(str(i), "h") for i in range(6)], "filepath string, hash string")
+    write, left = worklist.WorkLedger._write_once, [dies_at]
+
+    def dying(self, df, path):
+        left[0] -= 1
+        if left[0] == 0:
+            df.limit(2).write.mode("overwrite").parquet(path)  # a part is there, but it isn't finished
+            (tmp_path / path.removeprefix(f"{tmp_path}/") / "_SUCCESS").unlink()
+            raise OSError
+        write(self, df, path)
+
+    monkeypatch.setattr(worklist.WorkLedger, "_write_once", dying)
+
+    def work(at):
+        ledger.add(items, "b")
+        token, mine = ledger.lease(at, 60)
+        for part in ("filepath < '3'", "filepath >= '3'"):
+            ledger.commit(token, mine.where(part), at)
+
+    with pytest.raises(OSError):
+        work(now)
+    before = {r["filepath"] for r in ledger.states(now + dt.timedelta(seconds=61)).where("state = 'done'").collect()}
+    assert before == (set() if dies_at < 3 else {"0", "1"} if dies_at == 3 else {"0", "1", "2", "3", "4"})
+    work(now + dt.timedelta(seconds=61))
+    assert {(r["filepath"], r["state"]) for r in ledger.states(now + dt.timedelta(seconds=61)).collect()} == {(str(i), "done") for i in range(6)}
+    taken = ledger.leased(2 if dies_at > 1 else 1).collect()
+    assert not before & {r["filepath"] for r in taken}  # nothing that was done is done again
+
+
+def test_edits_are_compacted_and_repeated_batches_change_nothing(spark, tmp_path):
+    t = EditTable(spark, str(tmp_path / "t"), "k", ["at"], compact_every=2)
+    assert t.read() is None
+    for n, rows in enumerate([[("a", 1, "x"), ("b", 1, "y")], [("a", 3, "z")], [("a", 2, "old"), (None, 1, "n")], [("b", 5, None)], [("c", 1, "c")]]):
+        for _ in range(2):
+            t.apply(spark.createDataFrame(rows, "k string, at int, v string"), n)
+    assert {tuple(r) for r in t.read().collect()} == {("a", 3, "z"), ("b", 5, None), ("c", 1, "c"), (None, 1, "n")}
+
+
+def test_rules_file(spark, tmp_path):
+    (tmp_path / "rules").write_text("* --maxlength 100\nmd --split \\n\n")
+    assert [(r.extension, r.value) for r in read_rules(spark, str(tmp_path / "rules"))] == [("*", "100"), ("md", "\n")]
+
+
+def test_shared_folder_is_refused_on_a_cluster_without_one(monkeypatch):
+    from fathomline import session
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Sc:
+        master = "yarn"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    with pytest.raises(RuntimeError):
+        session.shared_root(type("Spark", (), {"conf": Conf, "sparkContext": Sc})())
