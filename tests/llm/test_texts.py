@@ -62,56 +62,73 @@ HAND = "import os\n\ndef load(path, mode=None):\n    if not path:\n        raise
 
 
 @pytest.mark.parametrize(
-    ("text", "path", "want"),
+    ("text", "want"),
     [
-        (HAND, "a.py", None),
-        ("# finds files that carry an @generated marker and skips them\n" + HAND, "a.py", None),
-        ("# the table below was generated once and is now kept by hand\n" + HAND, "a.py", None),
-        ("# do not edit the edge while a writer holds it\n" + HAND, "a.py", None),
-        (HAND + "# Code generated by hand\nx = 'DO NOT EDIT'\n", "a.py", None),
-        ("# Code generated by toolx v1.2. DO NOT EDIT.\n" + HAND, "a.py", "tool"),
-        ("# Licence\n#\n# @generated by toolx, 2025-01-01\n" + HAND, "a.py", "tool"),
-        ("// <auto-generated>\nfn a() {}\n", "a.rs", "tool"),
-        ("// Automatisch erzeugt aus x.def - nicht von Hand bearbeiten.\nfn a() {}\n", "a.rs", "tool"),
-        ("\n".join(f"exports.h{i} = require('./h/{i}');" for i in range(30)), "a.js", "tool"),
-        ("for(a=0;a<b.length;a++)c(a);var d=e.f(12);!g&&(h=i[3]||{});" * 30, "a.js", "minified"),
-        ("X = [\n" + "    0.25, -1.5, 3e4, 0x1f,\n" * 20 + "]\n", "a.py", "data"),
-        ('Y = [\n    "' + "Bn3Idbr" * 100 + '",\n]\n', "a.py", "data"),
-        (HAND + "\nBLOB = '" + "Bn3Idbr" * 1000 + "'\n", "a.py", None),
-        ("", "a.py", None),
-        ("# only a comment\n", "a.py", None),
+        (HAND, None),
+        ("\n".join(f"exports.h{i} = require('./h/{i}');" for i in range(30)), None),
+        ("for(a=0;a<b.length;a++)c(a);var d=e.f(12);!g&&(h=i[3]||{});" * 30, "minified"),
+        ("X = [\n" + "    0.25, -1.5, 3e4, 0x1f,\n" * 20 + "]\n", "data"),
+        ('Y = [\n    "' + "Bn3Idbr" * 100 + '",\n]\n', "data"),
+        (HAND + "\nBLOB = '" + "Bn3Idbr" * 1000 + "'\n", None),
+        ("", None),
+        ("# only a comment\n", None),
     ],
 )
-def test_structure(text, path, want):
-    assert provenance.structure(text, path) == want
+def test_structure(text, want):
+    assert provenance.structure(text) == want
+
+
+def test_templates():
+    repeats = lambda t: provenance.repeats_a_template(provenance.code_tokens(t, "a.py"))
+    assert repeats("\n".join(f"exports.h{i} = require('./h/{i}');" for i in range(30)))
+    assert repeats(HAND + "\n".join(f"get_field_{i:03}(buf, {i}, {i * 4})" for i in range(60)))
+    assert not repeats(HAND) and not repeats("") and not repeats("x") and not repeats(HAND * 5)
+    assert len(provenance.notices("\n".join(["# a licence of many lines"] * 100 + ["#", "# made by toolx from y.def on 2025-01-01"]))) > len(provenance.notices("# a licence of many lines\n"))
+    assert not len(provenance.notices(HAND + "# made by toolx from y.def\n"))
 
 
 def test_shared_windows_share_a_fingerprint():
+    prints = lambda t: provenance.fingerprints(provenance.code_tokens(t, "x.rs"))
     words = [f"w{i}" for i in range(200)]
     a, b = " ".join(words), "other start here " + " ".join(words[50:80]) + " and an end"
-    shared = set(provenance.fingerprints(a, "x.rs")) & set(provenance.fingerprints(b, "x.rs"))
+    shared = set(prints(a)) & set(prints(b))
     assert len(shared) >= (30 - provenance.GRAM - provenance.WINDOW + 2) // provenance.WINDOW
-    assert not set(provenance.fingerprints("a b", "x.rs"))
-    assert list(provenance.fingerprints(a, "x.rs")) == list(provenance.fingerprints("// note\n" + a.upper().replace(" ", "\n\t"), "x.rs"))
+    assert not set(prints("a b"))
+    assert list(prints(a)) == list(prints("// note\n" + a.upper().replace(" ", "\n\t")))
+
+
+def rust(seed, n=12):
+    return "\n".join(f"fn f{seed}{c}(a: u32) -> u32 {{ let {c}{seed} = a + {c}.len{seed}(); if {c}{c} > lim_{c} {{ return q{seed}{c}(a); }} {c}{c} }}" for c in "abcdefghijklmnop"[:n])
 
 
 def test_not_hand_written(spark):
-    body = "\n".join(f"fn f{c}(a: u32) -> u32 {{ let {c}{c} = a + {c}.len(); if {c}{c} > lim_{c} {{ return q{c}(a); }} {c}{c} }}" for c in "abcdefghijkl")
+    body = rust("")
     altered = "\n".join(x for i, x in enumerate(body.split("\n")) if i != 3).replace("    ", "\t") + "\nfn own() { helper(); }"
-    shared = body.replace("lim_", "other_").replace("len", "size").replace("return", "yield")
-    packages = spark.createDataFrame([(1, "fern", "fern/a.rs", body), (2, "null", None, None), (3, None, "x", "")], "upstream_id bigint, package string, filepath string, text string")
+    shared = rust("s")
+    made = lambda k: "\n".join(f"pub fn get_{k}_{i}() -> u32 {{ F[{i}] }}" for i in range(40))
+    notice, licence = "// Made by toolx from some.def, on 2025-01-0{}\n", "// Under the Meadow Licence 1.2, all of it\n"
+    packages = spark.createDataFrame([(1, "fern", "fern/a.rs", body), (2, "null", None, None), (3, None, "x", ""), (None, "z", "z", shared)], "upstream_id bigint, package string, filepath string, text string")
     files = spark.createDataFrame(
         [
-            (1, "r1/src/a.rs", body), (2, "r2/src/b.rs", altered), (3, "r1/src/c.rs", shared), (4, "r2/src/c.rs", shared), (5, "r3/vendor/fern/x.rs", "fn x() {}"),
-            (6, "r3/vendor/notes/x.rs", "fn x() {}"), (7, "r1/x.rs", None), (8, None, ""), (9, "r1/g.rs", "// @generated by t\nfn a() {}"), (1, "r1/src/a.rs", body),
-            (10, "r1/deps/fern-1.4/z.rs", ""), (11, "r1/src/3rdparty/fern_ab.rs", "fn z() {}"),
+            (1, "r1/src/a.rs", body), (2, "r2/src/b.rs", altered), (3, "r1/src/c.rs", shared), (4, "r2/src/c.rs", licence + shared), (5, "r3/vendor/fern/x.rs", "fn x() {}"),
+            (6, "r3/vendor/notes/x.rs", "fn x() {}"), (7, "r1/x.rs", None), (8, None, ""), (1, "r1/src/a.rs", body), (9, "r1/g.rs", licence + notice.format(1) + made("a")),
+            (12, "r2/g.rs", notice.format(2) + made("b")), (13, "r3/g.rs", licence + notice.format(3) + "fn small() {}"), (14, "r3/h.rs", made("c")), (15, "r4/h.rs", licence + rust("t")),
+            (16, "r5/h.rs", licence + rust("u")), (17, "r5/i.rs", "// this reads what toolx made from some.def\n" + rust("v")), (10, "r1/deps/fern-1.4/z.rs", ""), (11, "r1/src/3rdparty/fern_ab.rs", "fn z() {}"),
         ],
         "doc_id bigint, filepath string, text string",
     ).withColumn("package", F.lit("clash"))
-    got = sorted((r["doc_id"], r["reason"]) for r in provenance.not_hand_written(files, packages).collect())
-    assert got == [(1, "third_party"), (2, "third_party"), (5, "third_party"), (9, "tool"), (10, "third_party"), (11, "third_party")]
+    got = {r["doc_id"]: r["reason"] for r in provenance.not_hand_written(files, packages).collect()}
+    assert got == {1: "third_party", 2: "third_party", 5: "third_party_path", 9: "tool", 12: "tool", 13: "tool_notice", 14: "tool", 10: "third_party_path", 11: "third_party_path"}
+    assert provenance.not_hand_written(files, packages).count() == len(got)
     assert provenance.not_hand_written(files.limit(0), packages).count() == 0
-    assert {r["doc_id"] for r in provenance.not_hand_written(files, packages.limit(0)).collect()} == {9}
+    assert {r["doc_id"] for r in provenance.not_hand_written(files, packages.limit(0)).collect()} == {9, 12, 13, 14}
+
+
+def test_boilerplate_of_many_packages_makes_no_copy(spark):
+    common = rust("k", 4)
+    packages = spark.createDataFrame([(i, f"p{i}", f"p{i}/a.rs", common + "\n" + rust(f"p{i}", 8)) for i in range(provenance.MOST_PACKAGE_FILES + 6)], "upstream_id bigint, package string, filepath string, text string")
+    files = spark.createDataFrame([(1, "r/a.rs", common), (2, "r/b.rs", common + "\n" + rust("p3", 8)), (3, "r/c.rs", common + "\n" + rust("own", 3))], "doc_id bigint, filepath string, text string")
+    assert {r["doc_id"] for r in provenance.not_hand_written(files, packages).collect()} == {2}
 
 
 def check_pieces(data, limit, overlap):
