@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ PROSE = "It was not that the engine is slow, but what it reads from the disk is
 
 
 def other(text):
-    return dict(zip(quality.FIELDS, quality.describe(text, COMMON)))["other_share"]
+    return dict(zip(quality.FIELDS, quality.describe(text, COMMON, quality.Model.prior())))["other_share"]
 
 
 @pytest.mark.parametrize(
@@ -28,22 +29,58 @@ def test_prose(text):
     "text",
     ["- red fox\n- blue jay\n- old owl\n", "a;b;c\n1;2;3\n4;5;6\n", "| a | b |\n|---|---|\n| 1 | 2 |", "x\t1\t2\ny\t3\t4", "key.one: 5\nkey.two: true\n",
      "2025-01-01T00:00:00Z INFO a.rs:4 x=1 y=2\n" * 5, "00000000  d5 fc 7a 5c 04 b0 a5 6e 80 7a ba 48\n" * 4, "Wqx zzkv, pqr mnv. Hjk lmn opq rst uvw xyz qqq",
-     "1.0 Part of the first ......... 1\n1.1 Part of the second ......... 4\n", "see the index\nback to the top\nmore on this\nsee all\n", PROSE + "\n" + "- red fox\n" * 30, "@#$ %^& *()_ +{}|"],
+     "1.0 Part of the first ......... 1\n1.1 Part of the second ......... 4\n", "see the index\nback to the top\nmore on this\nsee all\n", PROSE + "\n" + "- red fox\n" * 30, "@#$ %^& *()_ +{}|", "red hat for the blue sky best coat for the old day " * 9, "name " * 90 + "\t1\t2\t3\n" + "other " * 90 + "\t4\t5\t6"],
 )
 def test_not_prose(text):
     assert other(text) > 0.5
 
 
+def see(name, n=12, variety=0):
+    return quality.observed(name, n, variety)
+
+
 def test_viterbi_smooths_weak_lines():
-    run = [("sentence", False)] * 4 + [("phrase", False)] + [("sentence", False)] * 4
-    assert set(quality.viterbi(run)) == {0}
-    assert quality.viterbi([]) == [] and len(quality.viterbi([("noise", True)] * 3)) == 3
+    model = quality.Model.prior()
+    run = [(see("sentence"), False)] * 4 + [(see("phrase", 3), False)] + [(see("sentence"), False)] * 4
+    assert set(quality.viterbi(run, model)) == {0}
+    assert quality.viterbi([], model) == [] and len(quality.viterbi([(see("noise"), True)] * 3, model)) == 3
     # Against all paths.
-    s = [("phrase", False), ("item", True), ("sentence", False), ("cells", False)]
-    score = lambda p: sum(quality._LOG[n][k] for (n, _), k in zip(s, p)) + sum(
-        quality._SAME[g][0] if a == b else quality._SAME[g][1] for (_, g), a, b in zip(s[1:], p, p[1:])
+    s = [(see("phrase"), False), (see("item"), True), (see("sentence"), False), (see("cells"), False)]
+    score = lambda p: model.log_start[p[0]] + sum(model.log[o][k] for (o, _), k in zip(s, p)) + sum(
+        model.log_move[g][b][a] for (_, g), a, b in zip(s[1:], p, p[1:])
     )
-    assert score(quality.viterbi(s)) == pytest.approx(max(score(p) for p in itertools.product(range(4), repeat=4)))
+    assert score(quality.viterbi(s, model)) == pytest.approx(max(score(p) for p in itertools.product(range(4), repeat=4)))
+
+
+def likelihood(model, documents):
+    total = 0.0
+    for seen, gaps in documents:
+        f = model.start * model.chance[seen[0]]
+        for o, g in zip(seen[1:], gaps[1:]):
+            total += np.log(f.sum())
+            f = f / f.sum() @ model.move[g] * model.chance[o]
+        total += np.log(f.sum())
+    return total
+
+
+def test_the_fit_makes_the_sample_likelier_and_keeps_the_states(monkeypatch):
+    rng = np.random.default_rng(1)
+    draw = lambda names, n: (np.array([see(rng.choice(names), int(rng.integers(1, 30)), int(rng.integers(0, 3))) for _ in range(n)]), rng.integers(0, 2, n))
+    documents = [draw(["sentence", "clause"], int(rng.integers(1, 20))) for _ in range(60)] + [draw(["item", "phrase"], 12) for _ in range(20)] + [draw(["cells"], 5), (np.empty(0, np.int64), np.empty(0, np.int64))]
+    prior = quality.Model.prior()
+    assert prior.fitted([]) is prior
+    fit = prior.fitted(documents)
+    assert likelihood(fit, documents[:-1]) > likelihood(prior, documents[:-1])
+    for m in (*fit.emit, *fit.move, fit.start[None]):
+        assert np.allclose(m.sum(1), 1) and (m > 0).all()
+    assert set(quality.viterbi([(see("item"), False)] * 5, fit)) == {1} and set(quality.viterbi([(see("sentence"), False)] * 5, fit)) == {0}
+    # Without prior, a round of Baum-Welch never makes the sample less likely.
+    monkeypatch.setattr(quality, "PRIOR_WEIGHT", 1e-9)
+    before = likelihood(prior, documents[:-1])
+    for rounds in (1, 2, 4):
+        after = likelihood(prior.fitted(documents, rounds), documents[:-1])
+        assert after >= before - 1e-6
+        before = after
 
 
 def test_statistics_table(spark):
