@@ -2,9 +2,10 @@
 
 Centroids are fitted on a bounded sample and balanced by splitting crowded ones. Every vector goes to its nearest list and,
 near a border, to further lists: those whose distance is within a ratio of the nearest (RATIO), up to MOST_LISTS. The
-lists of a vector are found in an in-memory graph over the centroids. Two vectors meet where they share a list; each list
-is searched as blocks of a matrix product, and one that outgrew a block is divided again by the same rule, inside its
-task. A pair that shares several lists is counted in the first of them only.
+lists of a vector are found in an in-memory graph over the centroids. Two vectors meet where they share a list, which is
+searched as blocks of a matrix product. A list that is expected to have more rows than a task should hold is searched in
+squares of parts, every part with every other, over as many tasks; the result is the same. A pair that shares several lists
+is counted in the first of them only.
 
 Where one dense region is split over many lists, near neighbours share none. There a vector is looked for in further
 lists as a visitor, which finds the vectors whose nearest list that is and is found by no one. How many lists it visits is
@@ -27,23 +28,26 @@ from pyspark.sql.window import Window
 
 from fathomline.session import bounded_batches
 
-#: Vectors of a list on average, before those on borders are added; at most MOST_CENTROIDS lists, later lists grow.
-LIST_SIZE, MOST_CENTROIDS = 4096, 4096
-#: Vectors that the centroids are fitted on, for each list. Documented bound: MOST_CENTROIDS * SAMPLE_PER_LIST vectors.
-SAMPLE_PER_LIST = 64
+#: Vectors of a list on average, before those on borders are added; at most MOST_CENTROIDS lists, beyond which lists grow
+#: and are searched in parts.
+LIST_SIZE, MOST_CENTROIDS = 4096, 65_536
+#: Vectors that the centroids are fitted on, for each list, and of all. Documented bound: the latter, 256 MB of 64 numbers.
+SAMPLE_PER_LIST, MOST_SAMPLE = 64, 1 << 20
+#: Centroids that are fitted at once; more are fitted group by group.
+FIT_TOGETHER = 256
 #: A list may hold so many times the average of the sample before it is split.
 CROWDED = 1.6
 #: Lists of a vector at most, and the largest ratio of distances to the nearest centroid.
 MOST_LISTS, RATIO = 3, 1.06
-#: Sample vectors of a list whose neighbours in the sample are looked up, the share of them that must have k neighbours there
-#: for the list to count as dense, and the share of these neighbours whose lists are visited.
-PROBED, DENSE, REACHED = 16, 0.25, 0.99
-#: Rows of a matrix block; a list of more than DIVIDE rows is divided inside its task.
-BLOCK, DIVIDE = 1024, 20480
+#: Sample vectors of a list whose neighbours in the sample are looked up, in so many nearest lists; the share of them that must
+#: have k neighbours there for the list to count as dense, and the share of these neighbours whose lists are visited.
+PROBED, LOOKED_IN, DENSE, REACHED = 16, 64, 0.25, 0.99
+#: Rows of a matrix block, and of a part of a list.
+BLOCK, PART_ROWS = 1024, 32_768
 #: Candidates nearer to the threshold than this in single precision are computed again in double precision.
 SLACK = 1e-4
-#: Neighbours of a node in the centroid graph, nodes that a search expands.
-GRAPH_DEGREE, GRAPH_STEPS = 16, 12
+#: Neighbours of a node in the centroid graph, nodes that a search holds, and steps that it takes.
+GRAPH_DEGREE, GRAPH_BEAM, GRAPH_STEPS = 24, 12, 24
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -51,10 +55,16 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit_centroids(sample: np.ndarray, k: int, seed: int = 0, rounds: int = 8) -> np.ndarray:
-    """Balanced unit centroids of unit vectors: k-means, then every crowded centroid gives way to two."""
+    """Balanced unit centroids of unit vectors: k-means, then every crowded centroid gives way to two. Many centroids are
+    fitted in groups: about the root of k groups first, then each group's share of the centroids on its own vectors."""
     rng = np.random.default_rng(seed)
     s = np.ascontiguousarray(sample, np.float32)
     k = max(1, min(k, len(s)))
+    if k > FIT_TOGETHER:
+        top = fit_centroids(s, int(np.sqrt(k)), seed, rounds)
+        of = np.concatenate([(s[a : a + 8192] @ top.T).argmax(1) for a in range(0, len(s), 8192)])
+        groups = [s[of == j] for j in range(len(top))]
+        return np.concatenate([fit_centroids(g, min(FIT_TOGETHER, max(1, round(k * len(g) / len(s)))), seed, rounds) for g in groups if len(g)])
     c = s[rng.choice(len(s), k, replace=False)]
 
     def assign(c: np.ndarray) -> np.ndarray:
@@ -100,54 +110,66 @@ def fit_centroids(sample: np.ndarray, k: int, seed: int = 0, rounds: int = 8) ->
 
 
 class CentroidGraph:
-    """A proximity graph over centroids, searched for many vectors at once: vectors that stand at the same node look at
-    its neighbours in one matrix product."""
+    """A proximity graph over centroids, searched for many vectors at once. A search holds GRAPH_BEAM nodes of each vector,
+    whatever the number of centroids: it begins with the best of the entry nodes, and each step looks at the neighbours of
+    the best node that hasn't been left yet. Where the entry nodes are all nodes, they are the answer."""
 
     def __init__(self, centroids: np.ndarray) -> None:
         self.c = np.ascontiguousarray(centroids, np.float32)
         k = len(self.c)
-        degree = min(GRAPH_DEGREE, k - 1)
-        near = [[] for _ in range(k)]
-        for a in range(0, k, 1024):
-            s = self.c[a : a + 1024] @ self.c.T
+        # So many entries that every region has one.
+        self.entries = np.arange(0, k, max(1, k // max(64, 4 * int(np.sqrt(k)))))
+        self.near = np.full((k, GRAPH_DEGREE), -1, np.int64)
+        if len(self.entries) == k:
+            return
+        half = GRAPH_DEGREE // 2
+        out = np.empty((k, half), np.int64)
+        for a in range(0, k, 512):
+            s = self.c[a : a + 512] @ self.c.T
             s[np.arange(len(s)), a + np.arange(len(s))] = -2
-            best = np.argpartition(-s, degree - 1, axis=1)[:, :degree] if degree else np.empty((len(s), 0), int)
-            for i, js in enumerate(best):
-                near[a + i] += js.tolist()
-                for j in js:
-                    near[j].append(a + i)
-        self.near = [np.unique(np.array(x, np.int64)) for x in near]
-        # Entry nodes: so many that every region has one.
-        step = max(1, int(np.sqrt(k)) // 2)
-        self.entries = np.arange(0, k, step)
+            best = np.argpartition(-s, half - 1, axis=1)[:, :half]
+            out[a : a + 512] = np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1), 1)
+        # Half of the neighbours are a node's nearest, the others those whose nearest it is, nearest first.
+        self.near[:, :half] = out
+        fro, to = np.repeat(np.arange(k), half), out.ravel()
+        order = np.lexsort((np.tile(np.arange(half), k), to))
+        fro, to = fro[order], to[order]
+        first = np.searchsorted(to, np.arange(k))
+        rank = np.arange(len(to)) - first[to]
+        self.near[to[rank < half], half + rank[rank < half]] = fro[rank < half]
 
     def search(self, x: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of the r most similar centroids found for each unit vector, best first."""
-        k, n = len(self.c), len(x)
-        seen = np.full((n, k), -2, np.float32)
-        seen[:, self.entries] = x @ self.c[self.entries].T
-        open_ = seen.copy()
-        for _ in range(min(GRAPH_STEPS, k)):
-            at = open_.argmax(1)
-            alive = open_[np.arange(n), at] > -2
-            if not alive.any():
-                break
-            open_[np.arange(n), at] = -2
-            order = np.argsort(at[alive], kind="stable")
-            rows, nodes = np.flatnonzero(alive)[order], at[alive][order]
-            starts = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
-            for a, b in zip(starts, np.append(starts[1:], len(nodes))):
-                q, js = rows[a:b], self.near[nodes[a]]
-                s = x[q] @ self.c[js].T
-                cell = np.ix_(q, js)
-                fresh = seen[cell] == -2
-                open_[cell] = np.where(fresh, s, open_[cell])
-                seen[cell] = np.where(fresh, s, seen[cell])
-        r = min(r, k)
-        best = np.argpartition(-seen, r - 1, axis=1)[:, :r]
-        s = np.take_along_axis(seen, best, 1)
-        order = np.argsort(-s, axis=1, kind="stable")
-        return np.take_along_axis(best, order, 1), np.take_along_axis(s, order, 1)
+        n, r = len(x), min(r, len(self.c))
+        s = x @ self.c[self.entries].T
+        beam = min(max(GRAPH_BEAM, 2 * r), s.shape[1])
+        top = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
+        nodes, sims = self.entries[top], np.take_along_axis(s, top, 1)
+        if len(self.entries) < len(self.c):
+            open_ = np.ones_like(nodes, bool)
+            alive = np.arange(n)
+            for _ in range(max(GRAPH_STEPS, r)):
+                at = np.where(open_[alive], sims[alive], -3).argmax(1)
+                go = open_[alive, at]
+                alive, at = alive[go], at[go]
+                if not len(alive):
+                    break
+                open_[alive, at] = False
+                next_ = self.near[nodes[alive, at]]
+                fresh = (next_ >= 0) & ~(next_[:, :, None] == nodes[alive][:, None, :]).any(2)
+                # A node that comes by both ways is looked at once.
+                fresh &= ~((next_[:, :, None] == next_[:, None, :]) & np.tri(next_.shape[1], k=-1, dtype=bool)).any(2)
+                new = np.where(fresh, np.einsum("nd,nkd->nk", x[alive], self.c[next_]), -2)
+                every = np.concatenate([sims[alive], new], axis=1)
+                keep = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
+                sims[alive] = np.take_along_axis(every, keep, 1)
+                nodes[alive] = np.take_along_axis(np.concatenate([nodes[alive], next_], axis=1), keep, 1)
+                open_[alive] = np.take_along_axis(np.concatenate([open_[alive], fresh], axis=1), keep, 1)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :r]
+        return np.take_along_axis(nodes, order, 1), np.take_along_axis(sims, order, 1)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.int64), *(self.search(x[a : a + 8192], 1)[0][:, 0] for a in range(0, len(x), 8192))])
 
 
 def posting_lists(graph: CentroidGraph, x: np.ndarray, most: int = MOST_LISTS, ratio: float = RATIO) -> np.ndarray:
@@ -163,41 +185,46 @@ def posting_lists(graph: CentroidGraph, x: np.ndarray, most: int = MOST_LISTS, r
     return out
 
 
-def visits_needed(sample: np.ndarray, c: np.ndarray, threshold: float, k: int, seed: int = 0) -> np.ndarray:
+def visits_needed(sample: np.ndarray, graph: CentroidGraph, threshold: float, k: int, seed: int = 0) -> np.ndarray:
     """For each list how many lists, nearest first, its vectors must look in to reach REACHED of their k nearest neighbours
-    by those neighbours' nearest lists, measured on the sample; 0 where the list isn't dense. Neighbours in a sample are
-    farther than among all vectors, so this is rather too many than too few."""
-    s = np.ascontiguousarray(sample, np.float32)
-    near = np.concatenate([(s[a : a + 8192] @ c.T).argmax(1) for a in range(0, len(s), 8192)])
+    by those neighbours' nearest lists, measured on the sample within the LOOKED_IN lists nearest to the list; 0 where the
+    list isn't dense. Neighbours in a sample are farther than among all vectors, so this is rather too many than too few."""
+    s, c = np.ascontiguousarray(sample, np.float32), graph.c
+    near = graph.nearest(s)
     order = np.random.default_rng(seed).permutation(len(s))
     order = order[np.argsort(near[order], kind="stable")]
-    first = np.searchsorted(near[order], np.arange(len(c)))
-    probed = order[np.arange(len(s)) - first[near[order]] < PROBED]
-    ranks: list[list[np.ndarray]] = [[] for _ in c]
-    for a in range(0, len(probed), 256):
-        rows = probed[a : a + 256]
-        sims = s[rows] @ s.T
-        sims[np.arange(len(rows)), rows] = -2
-        if sims.shape[1] <= k:
-            break
+    first = np.searchsorted(near[order], np.arange(len(c) + 1))
+    around = graph.search(c, LOOKED_IN)[0]
+    needed = np.zeros(len(c), np.int64)
+    for j in range(len(c)):
+        rows = order[first[j] : min(first[j] + PROBED, first[j + 1])]
+        if not len(rows):
+            continue
+        others = np.concatenate([order[first[i] : first[i + 1]] for i in around[j]])
+        if len(others) <= k:
+            continue
+        sims = s[rows] @ s[others].T
+        sims[rows[:, None] == others[None, :]] = -2
         best = np.argpartition(-sims, k, axis=1)[:, :k]
         dense = np.take_along_axis(sims, best, 1).min(1) >= threshold
-        to = s[rows] @ c.T
-        there = np.take_along_axis(to, near[best], 1)
-        for i in np.flatnonzero(dense):
-            ranks[near[rows[i]]].append((to[i][None, :] > there[i][:, None]).sum(1) + 1)
-    of = np.bincount(near[probed], minlength=len(c))
-    return np.array([int(np.ceil(np.quantile(np.concatenate(r), REACHED))) if len(r) >= max(2, DENSE * n) else 0 for r, n in zip(ranks, of)])
+        if dense.sum() < max(2, DENSE * len(rows)):
+            continue
+        to = s[rows[dense]] @ c[around[j]].T
+        lists = near[others[best[dense]]]
+        at = (around[j][None, None, :] == lists[:, :, None]).argmax(2)
+        ranks = (to[:, None, :] > np.take_along_axis(to, at, 1)[:, :, None]).sum(2) + 1
+        needed[j] = int(np.ceil(np.quantile(ranks, REACHED)))
+    return needed
 
 
-def visits(c: np.ndarray, x: np.ndarray, lists: np.ndarray, near: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def visits(graph: CentroidGraph, x: np.ndarray, lists: np.ndarray, near: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, lists): the lists that rows of x visit besides their own."""
     out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     split = np.flatnonzero(needed[near] > 1)
     for a in range(0, len(split), 1024):
         rows = split[a : a + 1024]
         n = needed[near[rows]]
-        best = np.argsort(-(x[rows] @ c.T), axis=1, kind="stable")[:, : n.max()]
+        best = graph.search(x[rows], int(n.max()))[0]
         mine = (best[:, :, None] == lists[rows][:, None, :]).any(2)
         i, j = np.nonzero((np.arange(best.shape[1]) < n[:, None]) & ~mine)
         out.append((rows[i], best[i, j]))
@@ -241,29 +268,22 @@ class Found:
 
 
 def search_list(
-    x: np.ndarray, ids: np.ndarray, target: np.ndarray, lists: np.ndarray, here: int, threshold: float, k: int, near: np.ndarray | None = None
+    x: np.ndarray, ids: np.ndarray, target: np.ndarray, lists: np.ndarray, here: int, threshold: float, k: int, near: np.ndarray | None = None, seeks: np.ndarray | None = None
 ) -> Found:
-    """Neighbours among the rows of one list. x: unit vectors in double precision; target: which rows may be found;
-    lists: all lists of each row; pairs whose first shared list isn't `here` are left to that list. near: each row's nearest
-    list; rows without `here` in their lists are visitors, see _counted."""
+    """Neighbours among the rows of one list or of a square of its parts. x: unit vectors in double precision; target: which
+    rows may be found; seeks: which rows look for neighbours, all if None; lists: all lists of each row; pairs whose first
+    shared list isn't `here` are left to that list. near: each row's nearest list; rows without `here` in their lists are
+    visitors, see _counted."""
     n = len(x)
     found = Found(np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), [])
-    x32 = x.astype(np.float32)
     near = np.full(n, here) if near is None else near
-    target = target & (lists == here).any(1)
-    if target.sum() <= DIVIDE:
-        _search_rows(found, x, x32, ids, target, np.arange(n), lists, near, here, None, None, -1, threshold, k)
-        return found
-    rng = np.random.default_rng(here)
-    parts = -(-n // LIST_SIZE)
-    sample = x32 if n <= parts * SAMPLE_PER_LIST else x32[np.sort(rng.choice(n, parts * SAMPLE_PER_LIST, replace=False))]
-    c = fit_centroids(sample, parts, seed=here)
-    sub = posting_lists(CentroidGraph(c), x32)
-    sub_near = nearest_list(c, x32, sub)
-    visitors, to = visits(c, x32, sub, sub_near, visits_needed(sample, c, threshold, k, seed=here))
-    for s in np.unique(sub[sub >= 0]):
-        rows = np.concatenate([np.flatnonzero((sub == s).any(1)), visitors[to == s]])
-        _search_rows(found, x, x32, ids, target, rows, lists, near, here, sub, sub_near, s, threshold, k)
+    columns = np.flatnonzero(target & (lists == here).any(1))
+    rows = np.arange(n) if seeks is None else np.flatnonzero(seeks)
+    x32 = x.astype(np.float32)
+    for a in range(0, len(rows), BLOCK):
+        r = rows[a : a + BLOCK]
+        for at in range(0, len(columns), 8 * BLOCK):
+            _search_block(found, x, x32, ids, r, columns[at : at + 8 * BLOCK], lists, near, here, threshold, k)
     return found
 
 
@@ -274,36 +294,29 @@ def _counted(i: np.ndarray, j: np.ndarray, lists: np.ndarray, near: np.ndarray,
     return (shared == here) | ((shared == np.iinfo(np.int32).max) & (near[j] == here))
 
 
-def _search_rows(found, x, x32, ids, target, rows, lists, near, here, sub, sub_near, sub_here, threshold, k) -> None:
-    columns = rows[target[rows]]
-    if sub is not None:
-        columns = columns[(sub[columns] == sub_here).any(1)]
-    for a in range(0, len(rows), BLOCK):
-        r = rows[a : a + BLOCK]
-        rough = x32[r] @ x32[columns].T >= threshold - SLACK
-        rough &= r[:, None] != columns[None, :]
-        some_r, some_c = np.flatnonzero(rough.any(1)), np.flatnonzero(rough.any(0))
-        for b in range(0, len(some_r), 256):
-            rr = some_r[b : b + 256]
-            exact = np.round(x[r[rr]] @ x[columns[some_c]].T, 6)
-            i, j = np.nonzero((exact >= threshold) & rough[np.ix_(rr, some_c)])
-            s, i, j = exact[i, j], r[rr][i], columns[some_c][j]
-            if lists.shape[1] > 1:
-                mine = _counted(i, j, lists, near, here)
-                if sub is not None:
-                    mine &= _counted(i, j, sub, sub_near, sub_here)
-                s, i, j = s[mine], i[mine], j[mine]
-            if not len(i):
-                continue
-            np.add.at(found.count, i, 1)
-            np.bitwise_xor.at(found.mix, i, _mix(ids[j]))
-            np.minimum.at(found.least, i, ids[j])
-            order = np.lexsort((ids[j], -s, i))
-            i, j, s = i[order], j[order], s[order]
-            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-            top = rank < k
-            found.best.append((i[top], s[top], ids[j[top]]))
+def _search_block(found: Found, x, x32, ids, r, columns, lists, near, here, threshold, k) -> None:
+    rough = x32[r] @ x32[columns].T >= threshold - SLACK
+    rough &= r[:, None] != columns[None, :]
+    some_r, some_c = np.flatnonzero(rough.any(1)), np.flatnonzero(rough.any(0))
+    for b in range(0, len(some_r), 256):
+        rr = some_r[b : b + 256]
+        exact = np.round(x[r[rr]] @ x[columns[some_c]].T, 6)
+        i, j = np.nonzero((exact >= threshold) & rough[np.ix_(rr, some_c)])
+        s, i, j = exact[i, j], r[rr][i], columns[some_c][j]
+        if lists.shape[1] > 1:
+            mine = _counted(i, j, lists, near, here)
+            s, i, j = s[mine], i[mine], j[mine]
+        if not len(i):
+            continue
+        np.add.at(found.count, i, 1)
+        np.bitwise_xor.at(found.mix, i, _mix(ids[j]))
+        np.minimum.at(found.least, i, ids[j])
+        order = np.lexsort((ids[j], -s, i))
+        i, j, s = i[order], j[order], s[order]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+        top = rank < k
+        found.best.append((i[top], s[top], ids[j[top]]))
 
 
 def packed_vectors(df: DataFrame, id_col: str, data_col: str, dim: int) -> DataFrame:
@@ -350,10 +363,11 @@ def neighbour_rows(vectors: DataFrame, probes: DataFrame | None, dim: int, thres
     spark = vectors.sparkSession
     n = vectors.count()
     k_lists = max(1, min(MOST_CENTROIDS, -(-n // LIST_SIZE)))
-    sample = sample_vectors(vectors, data_col, dim, n, k_lists * SAMPLE_PER_LIST)
-    centroids = fit_centroids(sample, k_lists)
-    needed = visits_needed(sample, centroids, threshold, min(k, 5))
-    sent = spark.sparkContext.broadcast((centroids, needed))  # at most about 2 * MOST_CENTROIDS * dim * 4 bytes
+    sample = sample_vectors(vectors, data_col, dim, n, min(MOST_SAMPLE, k_lists * SAMPLE_PER_LIST))
+    graph = CentroidGraph(fit_centroids(sample, k_lists))
+    needed = visits_needed(sample, graph, threshold, min(k, 5))
+    parts = list_parts(sample, graph, needed, n)
+    sent = spark.sparkContext.broadcast((graph, needed, parts))  # about MOST_CENTROIDS * (4 * dim + 8 * GRAPH_DEGREE) bytes at most
     packed = packed_vectors(vectors, "id", data_col, dim).select(F.lit(0).alias("kind"), "id", "vec")
     if probes is not None:
         packed = packed.unionByName(packed_vectors(probes, "id", data_col, dim).select(F.lit(1).alias("kind"), "id", "vec"))
@@ -361,39 +375,41 @@ def neighbour_rows(vectors: DataFrame, probes: DataFrame | None, dim: int, thres
     most = MOST_LISTS
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, needed = sent.value
-        graph = CentroidGraph(c)
+        graph, needed, parts = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unpack(batch.column(1), dim)
             x = unit(x).astype(np.float32)
             lists = posting_lists(graph, x)
-            near = nearest_list(c, x, lists)
-            visitors, to = visits(c, x, lists, near, needed)
+            near = nearest_list(graph.c, x, lists)
+            visitors, to = visits(graph, x, lists, near, needed)
             rows, cols = np.nonzero(lists >= 0)
             # A row's first list is marked: there it comes out even without neighbours.
             home = np.append(cols == (lists >= 0).argmax(1)[rows], np.zeros(len(to), bool))
             list_ = np.append(lists[rows, cols], to).astype(np.int32)
-            rows = np.append(rows, visitors)
+            rows, home, list_, square, seeks, found = squares(np.append(rows, visitors), home, list_, parts, _mix(np.asarray(batch.column(2))))
             take = pa.array(rows)
             flat = pa.array(lists[rows].reshape(-1))
             all_ = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * most), flat)
+            role = pa.array((seeks * 1 + found * 2).astype(np.int8))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list_), pa.array(home), all_, pa.array(near[rows]), *(batch.column(i).take(take) for i in range(4))],
-                ["list", "home", "lists", "near", "kind", "vec", "rep", "copies"],
+                [pa.array(list_), pa.array(square), role, pa.array(home), all_, pa.array(near[rows]), *(batch.column(i).take(take) for i in range(4))],
+                ["list", "square", "role", "home", "lists", "near", "kind", "vec", "rep", "copies"],
             )
 
-    placed = folded.select("kind", "vec", "rep", "copies").mapInArrow(assign, "list int, home boolean, lists array<int>, near int, kind int, vec binary, rep bigint, copies bigint")
+    placed = folded.select("kind", "vec", "rep", "copies").mapInArrow(
+        assign, "list int, square int, role tinyint, home boolean, lists array<int>, near int, kind int, vec binary, rep bigint, copies bigint"
+    )
     schema = NEIGHBOURS + (", vec binary" if with_vectors else "")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         col = {c: (table[c].chunk(0) if table[c].num_chunks else pa.array([], table[c].type)) for c in table.column_names}
         x = unit(_unpack(col["vec"], dim))
-        ids, kind, copies = (np.asarray(col[c]) for c in ("rep", "kind", "copies"))
+        ids, kind, copies, role = (np.asarray(col[c]) for c in ("rep", "kind", "copies", "role"))
         lists = np.asarray(col["lists"].flatten()).reshape(-1, most)
-        f = search_list(x, ids, kind == 0, lists, int(np.asarray(col["list"])[0]), threshold, k, np.asarray(col["near"]))
+        f = search_list(x, ids, (kind == 0) & (role >= 2), lists, int(np.asarray(col["list"])[0]), threshold, k, np.asarray(col["near"]), role % 2 == 1)
         out = np.flatnonzero((f.count > 0) | ((copies > 1) & np.asarray(col["home"])))
         place = np.full(len(x), -1, np.int64)
         place[out] = np.arange(len(out))
@@ -417,7 +433,34 @@ def neighbour_rows(vectors: DataFrame, probes: DataFrame | None, dim: int, thres
             names.append("vec")
         return pa.Table.from_arrays(columns, names)
 
-    return placed.groupBy("list").applyInArrow(search, schema)
+    return placed.groupBy("list", "square").applyInArrow(search, schema)
+
+
+def list_parts(sample: np.ndarray, graph: CentroidGraph, needed: np.ndarray, n: int) -> np.ndarray:
+    """Into how many parts each list is divided, from its share of the sample, visitors included, and the number of all rows.
+    It decides how the work is spread, not what is found."""
+    rows = np.zeros(len(graph.c))
+    for a in range(0, len(sample), 4096):
+        x = np.ascontiguousarray(sample[a : a + 4096], np.float32)
+        lists = posting_lists(graph, x)
+        to = visits(graph, x, lists, nearest_list(graph.c, x, lists), needed)[1]
+        rows += np.bincount(np.append(lists[lists >= 0], to), minlength=len(rows))
+    return np.maximum(1, np.ceil(rows / max(1, len(sample)) * n / PART_ROWS)).astype(np.int64)
+
+
+def squares(rows: np.ndarray, home: np.ndarray, lists: np.ndarray, parts: np.ndarray, mix: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, home, list, square, seeks, is found) of each row in each square of its list's parts that it has to do with: as a
+    seeker in the squares of its own line, as one that is found in those of its own column. mix: a hash of each row."""
+    p = parts[lists]
+    own = (mix[rows].view(np.uint64) % p.astype(np.uint64)).astype(np.int64)
+    times = np.where(p > 1, 2 * p - 1, 1)
+    at = np.repeat(np.arange(len(rows)), times)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    p, own = p[at], own[at]
+    line = k < p
+    other = np.where(line, k, k - p + (k - p >= own))
+    square = np.where(line, own * p + other, other * p + own)
+    return rows[at], home[at] & (line & (other == own)), lists[at], square.astype(np.int32), line, ~line | (other == own)
 
 
 def _unpack(vec: pa.Array, dim: int) -> np.ndarray:
