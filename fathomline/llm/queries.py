@@ -55,7 +55,8 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
         F.lit("source").alias("item_kind"), F.col("source_id").alias("item_id"), "filepath",
         F.col("subset.start_pos").alias("begin_pos"), F.col("subset.end_pos").alias("end_pos"),
     )
-    return splitting.split_oversized(functions.unionByName(sources), table(spark, d, "documents"), MOST_BYTES, OVERLAP_BYTES)
+    ends = table(spark, d, "function_defs").where("begin_pos is null or begin_pos < end_pos")
+    return splitting.split_oversized(functions.unionByName(sources), table(spark, d, "documents"), MOST_BYTES, OVERLAP_BYTES, ends)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

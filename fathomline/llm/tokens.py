@@ -143,5 +143,9 @@ def document_slices(docs: DataFrame, sources: DataFrame, lang_names: DataFrame,
 
 
 def token_budget(slices: DataFrame) -> DataFrame:
-    """Totals by source, language and domain, and the roll-ups over them (null stands for all)."""
-    return slices.cube("source", "lang", "domain").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    """Totals by source, language and domain, and the roll-ups over them. `all_of` names the columns that a row is summed over
+    (empty for a slice); in them null stands for all, while elsewhere null is a value of its own: a document without source
+    and without path."""
+    summed = F.array_compact(F.array(*[F.when(F.grouping(c) == 1, F.lit(c)) for c in ("source", "lang", "domain")]))
+    totals = slices.cube("source", "lang", "domain").agg(summed.alias("all_of"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return totals.select("source", "lang", "domain", "all_of", "n_docs", "n_tokens")

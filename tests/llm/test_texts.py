@@ -193,6 +193,16 @@ def test_pieces_at_natural_boundaries():
     assert splitting.cut_pieces(b"", 64, 8) == [(0, 0, "end")] and splitting.cut_pieces(b"a" * 64, 64, 8) == [(0, 64, "end")]
 
 
+def test_functions_end_where_pieces_do():
+    body = b"def f(x):\n    return x\n\n    # more\n" + b"    y = 1\n" * 20
+    data = body * 12
+    ends = [len(body) * k for k in range(1, 12)]
+    p = splitting.cut_pieces(data, 1000, 50, [*ends, -5, 0, 10**9])
+    assert all(kind == "function" and e in ends for _, e, kind in p[:-1]) and p[-1][1] == len(data)
+    assert {k for _, _, k in splitting.cut_pieces(data, 1000, 50)[:-1]} == {"paragraph"}
+    assert splitting.cut_pieces("é".encode() * 300, 200, 10, [101])[0][1] % 2 == 0  # never inside a character
+
+
 def test_cost_is_the_least_of_all_chains():
     data = b"aaaa bbbb.\ncc dd. ee\n\nff gggg hh. iiii jj\nkk ll mm nn. oo pp qq rr ss tt uu vv\nww xx yy zz aa bb cc dd ee"
     limit, overlap = 64, 8
@@ -232,6 +242,9 @@ def test_split_oversized_table(spark):
     for i, b, e in ((1, 0, 13000), (2, 100, 9000), (5, 0, 13000), (7, 1, 10000)):
         p = sorted((r["piece"], r["start_pos"], r["end_pos"]) for r in out if r["item_id"] == i)
         assert p[0][1] == b and p[-1][2] == e and [x[0] for x in p] == list(range(len(p)))
+    ends = spark.createDataFrame([("a", 6500), ("a", 6500), ("a", None), ("zz", 7), (None, 9)], "filepath string, end_pos bigint").withColumn("data", F.lit("clash"))
+    marked = splitting.split_oversized(items, docs, functions=ends).collect()
+    assert {(r["item_id"], r["end_pos"], r["cut"]) for r in marked if r["item_kind"] == "source" and r["piece"] == 0 and r["item_id"] in (1, 2, 5)} == {(1, 6500, "function"), (2, 6500, "function"), (5, 6500, "function")}
     assert splitting.split_oversized(items.limit(0), docs).count() == splitting.split_oversized(items, docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         splitting.split_oversized(items, docs, 100, 90)

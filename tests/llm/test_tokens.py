@@ -126,8 +126,14 @@ def test_slices(spark):
     got = {r["doc_id"]: (r["source"], r["lang"], r["domain"]) for r in tokens.document_slices(docs, sources, names, PATH).collect()}
     assert got == {1: ("src", "en", "none"), 2: ("root", "fr", "search"), 5: ("s", "und", "none"), 6: ("root", "und", "none"), 7: ("s", "und", "none")}
     slices = tokens.document_slices(docs, sources, names, PATH)
-    total = tokens.token_budget(slices).where("source is null and lang is null and domain is null").head()
-    assert total["n_docs"] == 5 and total["n_tokens"] == sum(r["n_tokens"] for r in slices.collect())
+    held = slices.collect()
+    budget = [r.asDict() for r in tokens.token_budget(slices).collect()]
+    (total,) = [r for r in budget if len(r["all_of"]) == 3]
+    assert total["n_docs"] == 5 and total["n_tokens"] == sum(r["n_tokens"] for r in held)
+    # A document without source and path is a slice of its own, not the sum over all sources.
+    lost = tokens.token_budget(slices.withColumn("source", F.when(F.col("doc_id") < 3, F.col("source")))).collect()
+    by = {tuple(sorted(r["all_of"])): r["n_docs"] for r in lost if r["source"] is None and set(r["all_of"]) >= {"lang", "domain"}}
+    assert by == {("domain", "lang"): 3, ("domain", "lang", "source"): 5}
     assert tokens.document_slices(docs.limit(0), sources.limit(0), names.limit(0), PATH).count() == 0
 
 
@@ -137,6 +143,22 @@ def test_estimate_is_near_the_exact_count(public):
     assert abs(counter.count(text) - len(public(text))) <= 0.05 * len(public(text))
 
 
+def test_estimates_of_a_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "doc_kind")
+    exact = {r["doc_id"]: r["n_tokens"] for r in tokens.token_sizes(docs, PATH).collect()}
+    counter = tokens.LongestMatchCounter(PATH)
+    total = {"code": [0, 0], "text": [0, 0]}
+    off = []
+    for r in docs.where("text is not null").collect():
+        n = counter.count(r["text"])
+        total[r["doc_kind"]][0] += n
+        total[r["doc_kind"]][1] += exact[r["doc_id"]]
+        off.append(abs(n - exact[r["doc_id"]]) / max(1, exact[r["doc_id"]]))
+    off.sort()
+    print(total, off[len(off) // 2], off[int(0.95 * len(off))], off[-1])
+    assert all(abs(a - b) <= 0.015 * b for a, b in total.values()) and off[int(0.95 * len(off))] <= 0.05
+
+
 def best_fit_decreasing(sizes, capacity):
     rest = []
     for s in sorted(sizes, reverse=True):
