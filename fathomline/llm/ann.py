@@ -39,6 +39,8 @@ FIT_TOGETHER = 256
 CROWDED = 1.6
 #: Lists of a vector at most, and the largest ratio of distances to the nearest centroid.
 MOST_LISTS, RATIO = 3, 1.06
+#: Lists in which a probe of kind 1, which is stored in none, is looked for.
+PROBE_LISTS = 8
 #: Sample vectors of a list whose neighbours in the sample are looked up, in so many nearest lists; the share of them that must
 #: have k neighbours there for the list to count as dense, and the share of these neighbours whose lists are visited.
 PROBED, LOOKED_IN, DENSE, REACHED = 16, 64, 0.25, 0.99
@@ -217,13 +219,15 @@ def visits_needed(sample: np.ndarray, graph: CentroidGraph, threshold: float, k:
     return needed
 
 
-def visits(graph: CentroidGraph, x: np.ndarray, lists: np.ndarray, near: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, lists): the lists that rows of x visit besides their own."""
+def visits(graph: CentroidGraph, x: np.ndarray, lists: np.ndarray, near: np.ndarray, needed: np.ndarray, least: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, lists): the lists that rows of x visit besides their own: as many as their nearest list needs, their own
+    included, and at least as many as `least` says of each row."""
     out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    split = np.flatnonzero(needed[near] > 1)
+    wanted = np.maximum(needed[near], least)
+    split = np.flatnonzero(wanted > 1)
     for a in range(0, len(split), 1024):
         rows = split[a : a + 1024]
-        n = needed[near[rows]]
+        n = wanted[rows]
         best = graph.search(x[rows], int(n.max()))[0]
         mine = (best[:, :, None] == lists[rows][:, None, :]).any(2)
         i, j = np.nonzero((np.arange(best.shape[1]) < n[:, None]) & ~mine)
@@ -383,7 +387,7 @@ def neighbour_rows(vectors: DataFrame, probes: DataFrame | None, dim: int, thres
             x = unit(x).astype(np.float32)
             lists = posting_lists(graph, x)
             near = nearest_list(graph.c, x, lists)
-            visitors, to = visits(graph, x, lists, near, needed)
+            visitors, to = visits(graph, x, lists, near, needed, PROBE_LISTS * np.asarray(batch.column(0)))
             rows, cols = np.nonzero(lists >= 0)
             # A row's first list is marked: there it comes out even without neighbours.
             home = np.append(cols == (lists >= 0).argmax(1)[rows], np.zeros(len(to), bool))

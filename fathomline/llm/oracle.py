@@ -44,4 +44,6 @@ h as (select a, list(b order by b) as hood from p group by a),
 g as (select hood, min(a) as cluster_id, count(*) as n from h group by hood having count(*) = len(hood) and count(*) >= 3)
 select cluster_id, a as id from h join g using (hood) where a > cluster_id"""
 
-ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p6_nearest": P6_NEAREST}
+P7_TEXTS = "select doc_id, coalesce(text, '') as text from documents"
+
+ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p6_nearest": P6_NEAREST, "p7_texts": P7_TEXTS}

@@ -93,6 +93,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), BYTE_BPE)
 
 
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again, from the ids."""
+    return tokens.decode_corpus(p7_ids(spark, d), BYTE_BPE)
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.token_sizes(table(spark, d, "documents"), BYTE_BPE), CAPACITY)
 
@@ -107,6 +112,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p1_found, p1_clusters, p2_found, p2_budget, p4_pieces, p4_found, p5_found, p5_reasons, p6_found, p6_nearest, p7_ids, p8_containers, p9_statistics, p9_found,
+        p1_found, p1_clusters, p2_found, p2_budget, p4_pieces, p4_found, p5_found, p5_reasons, p6_found, p6_nearest, p7_ids, p7_texts, p8_containers, p9_statistics, p9_found,
     )
 }

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.bpe import VISIBLE, Chunks, Vocabulary, _loaded, encoder
+from fathomline.llm.bpe import VISIBLE, Chunks, Decoder, Vocabulary, _loaded, encoder
 from fathomline.llm.longest_match import LongestMatch
 from fathomline.session import bounded_batches
 
-#: Rows of text turned into one Arrow batch of ids.
-ROWS_OUT = 512
+#: Rows of text turned into one Arrow batch of ids, and ids that are decoded at once.
+ROWS_OUT, DECODED = 512, 4096
 
 
 def _map_texts(docs: DataFrame, id_col: str, text_col: str, function, schema: str) -> DataFrame:
@@ -47,6 +47,25 @@ def encode_corpus(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     return _map_texts(docs, id_col, text_col, ids, "doc_id bigint, ids array<int>")
 
 
+def decode_corpus(ids: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, text): the texts of lists of ids, by the incremental state machine in portions of DECODED ids; empty for an empty
+    or null list. An id that the vocabulary doesn't have, or a null, is an error. A repeated row comes out as often as it went
+    in."""
+    bounded_batches(ids.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(i, ROWS_OUT)
+                texts, bytes_of = [], encoder(vocabulary).v.bytes_of
+                for row in part.column(1).to_pylist():
+                    d = Decoder(bytes_of)
+                    texts.append("".join(d.feed(row[k : k + DECODED]) for k in range(0, len(row or ()), DECODED)) + d.finish())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return ids.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+
+
 def token_sizes(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens): the length of each row's list of ids; 0 for an empty or null text."""
 

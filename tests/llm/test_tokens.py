@@ -143,6 +143,14 @@ def test_estimate_is_near_the_exact_count(public):
     assert abs(counter.count(text) - len(public(text))) <= 0.05 * len(public(text))
 
 
+def test_decoded_texts(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "DECODED", 3)
+    docs = spark.createDataFrame([(1, "naïve 検索 text"), (2, ""), (3, None), (1, "naïve 検索 text")], "doc_id bigint, text string")
+    got = tokens.decode_corpus(tokens.encode_corpus(docs, PATH).withColumn("text", F.lit("clash")), PATH).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, "naïve 検索 text")] * 2 + [(2, ""), (3, "")]
+    assert tokens.decode_corpus(spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>"), PATH).head()["text"] == ""
+
+
 def test_estimates_of_a_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "doc_kind")
     exact = {r["doc_id"]: r["n_tokens"] for r in tokens.token_sizes(docs, PATH).collect()}
