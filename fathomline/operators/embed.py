@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+from array import array
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from fathomline.session import bounded_batches
 
-#: White space between tokens.
-SPACE = re.compile(r"[ \t\n\r\f]+")
+#: White space between tokens, besides the space.
+BLANKS = "\t\n\r\f"
 
 
 class Embedder(Protocol):
@@ -26,26 +26,49 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+#: Tokens whose bucket a worker remembers.
+REMEMBERED = 200_000
+
+
+class _Buckets(dict):
+    """The bucket of each token, made when it is first asked for; -1 for the empty one."""
+
+    def __init__(self, dim: int) -> None:
+        super().__init__({"": -1})
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+            self[""] = -1
+        b = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % self.dim
+        return b
+
+    def __reduce__(self):
+        return _Buckets, (self.dim,)
+
+
 class HashEmbedder:
     """Counts of tokens in buckets by the first four hexadecimal digits of their md5, scaled to length 1. Tokens are what
-    white space separates, in lower case; a text without tokens has no vector."""
+    white space separates, in lower case; a text without tokens has no vector. The counts of all texts of a batch are one
+    histogram."""
 
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
-        self._bucket: dict[str, int] = {}
+        self._bucket = _Buckets(dim)
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        known, out = self._bucket, np.zeros((len(texts), self.dim))
-        for k, text in enumerate(texts):
-            row = out[k]
-            for w in SPACE.split(text.lower()):
-                if w:
-                    b = known.get(w)
-                    if b is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        b = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % self.dim
-                    row[b] += 1
+        found, sizes = array("q"), [0]
+        for text in texts:
+            text = text.lower()
+            for c in BLANKS:
+                text = text.replace(c, " ")
+            found.extend(map(self._bucket.__getitem__, text.split(" ")))
+            sizes.append(len(found))
+        at = np.repeat(np.arange(len(texts)), np.diff(sizes))
+        bucket = np.frombuffer(found, np.int64) if found else np.empty(0, np.int64)
+        real = bucket >= 0
+        out = np.bincount(at[real] * self.dim + bucket[real], minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float64)
         n = np.sqrt((out * out).sum(1, keepdims=True))
         return np.where(n > 0, out / np.maximum(n, 1e-300), np.nan)
 

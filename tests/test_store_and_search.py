@@ -12,10 +12,10 @@ from fathomline.engine import Engine
 from fathomline.functions import messages
 from fathomline.operators import catalog, cells, graph, search, store, worklist
 from fathomline.operators.embed import HashEmbedder, embed
-from fathomline.plans.rules import parse_rules, read_rules
+from fathomline.plans.rules import parse_rules, read_rules, rules_table
 from fathomline.schemas import VECTORS
 from fathomline.sources import blocks, files
-from fathomline.streaming.edits import EditTable
+from fathomline.streaming.edits import EditTable, distinct_events
 
 VEC = "id bigint, data array<float>, meta array<string>"
 
@@ -382,7 +382,17 @@ def test_edits_are_compacted_and_repeated_batches_change_nothing(spark, tmp_path
 
 def test_rules_file(spark, tmp_path):
     (tmp_path / "rules").write_text("* --maxlength 100\nmd --split \\n\n")
-    assert [(r.extension, r.value) for r in read_rules(spark, str(tmp_path / "rules"))] == [("*", "100"), ("md", "\n")]
+    rules = read_rules(spark, str(tmp_path / "rules"))
+    assert [(r.extension, r.value) for r in rules] == [("*", "100"), ("md", "\n")]
+    assert sorted(tuple(r) for r in rules_table(spark, rules).collect()) == [("*", 0, "maxlength", "100"), ("md", 0, "split", "\n")]
+
+
+def test_repeated_events_come_once(spark, tmp_path):
+    rows = [(1, dt.datetime(2025, 1, 1)), (1, dt.datetime(2025, 1, 1)), (2, dt.datetime(2025, 1, 1, 1)), (None, dt.datetime(2025, 1, 1))]
+    spark.createDataFrame(rows, "id bigint, at timestamp").write.parquet(f"{tmp_path}/in")
+    stream = distinct_events(spark.readStream.schema("id bigint, at timestamp").parquet(f"{tmp_path}/in"), "at", ["id"], "1 hour")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert sorted(str(r["id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["1", "2", "None"]
 
 
 def test_shared_folder_is_refused_on_a_cluster_without_one(monkeypatch):
