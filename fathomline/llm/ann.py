@@ -479,6 +479,14 @@ def copies_of(df: DataFrame, kind: int, dim: int, data_col: str = "data") -> Dat
     return hashed.join(groups, "key").select(F.lit(kind).alias("kind"), "id", "rep")
 
 
+def unfolded(rows: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """rows of representatives (keys, of which the last is `rep`) as rows of ids: of all that members (keys, id) has, else of
+    the representative itself. Two joins, since in an inner join a representative of any share of the ids can be divided over
+    tasks; in an outer one it can't."""
+    alone = rows.join(members.select(*keys).distinct(), keys, "left_anti").withColumn("id", F.col("rep"))
+    return rows.join(members.select(*keys, "id"), keys).unionByName(alone)
+
+
 def nearest(vectors: DataFrame, probes: DataFrame | None, dim: int = 64, k: int = 5, threshold: float = 0.85, data_col: str = "data") -> DataFrame:
     """(kind, id, rank, neighbour, sim): for every usable probe its k most similar other ids of vectors, by the cosine
     rounded to 6 decimals, ties to the smaller id, and at least the threshold; missing few (see the README for recall).
@@ -502,8 +510,7 @@ def nearest(vectors: DataFrame, probes: DataFrame | None, dim: int = 64, k: int
     order = Window.partitionBy("kind", "rep").orderBy(F.col("sim").desc(), "neighbour")
     candidates = named.unionByName(own).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     candidates = candidates.groupBy("kind", "rep").agg(F.array_sort(F.collect_list(F.struct("r", "neighbour", "sim"))).alias("c"))
-    # Ids without copies stand for themselves; the others get their representative's candidates.
-    all_ids = candidates.join(members, ["kind", "rep"], "left").select("kind", F.coalesce("id", "rep").alias("id"), "c")
+    all_ids = unfolded(candidates, members, ["kind", "rep"]).select("kind", "id", "c")
     others = F.slice(F.filter("c", lambda e: ~((F.col("kind") == 0) & (e["neighbour"] == F.col("id")))), 1, k)
     out = all_ids.select("kind", "id", F.posexplode(others).alias("rank", "e"))
     return out.select("kind", "id", (F.col("rank") + 1).alias("rank"), F.col("e.neighbour").alias("neighbour"), F.col("e.sim").alias("sim"))

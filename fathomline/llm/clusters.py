@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.llm.ann import _mix, _unpack, copies_of, neighbour_rows, packed_vectors, unit
+from fathomline.llm.ann import _mix, _unpack, copies_of, neighbour_rows, packed_vectors, unfolded, unit
 from fathomline.session import cut, settle
 
 #: Edges of a vector to its most similar ones.
@@ -213,8 +213,18 @@ def _not_cliques(members: DataFrame, threshold: float, dim: int, task_nodes: int
     return bad.unionByName(met.select("c_a", "vec_a", "c_b", "vec_b").mapInArrow(pairs, "cluster_id bigint")).distinct()
 
 
-def _large_rounds(nodes: DataFrame, threshold: float, dim: int, task_nodes: int) -> DataFrame:
-    """The same rounds as joins, for parts that no task can hold: (rep, cluster_id, typicality, clique)."""
+def _missing_edges(clusters: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(a, b): in both directions, of each of clusters (c, sum) the nearest others by the cosine of their means."""
+    means = settle(clusters.select(F.col("c").alias("id"), F.transform("sum", lambda v: v.cast("float")).alias("data")))
+    found = neighbour_rows(means, None, dim, threshold, EDGES).select(F.col("rep").alias("a"), F.explode("best").alias("e")).select("a", F.col("e.id").alias("b"))
+    equal = copies_of(means, 0, dim).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    pairs = found.unionByName(equal)
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def _large_rounds(nodes: DataFrame, threshold: float, dim: int, task_nodes: int, compare: bool = True) -> DataFrame:
+    """The same rounds as joins, for parts that no task can hold: (rep, cluster_id, typicality, clique). With `compare`, the
+    nearest clusters are searched again by their means when no pair is left, and the rounds go on over the edges found."""
     element = [(F.col("x")[i] * F.col("weight")).alias(f"s{i}") for i in range(dim)]
 
     def floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +241,18 @@ def _large_rounds(nodes: DataFrame, threshold: float, dim: int, task_nodes: int)
     product = F.aggregate(F.zip_with("sum_a", "sum_b", lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q)
     while True:
         side = lambda k: clusters.select(F.col("c").alias(k), F.col("sum").alias(f"sum_{k}"), F.col("count").alias(f"count_{k}"))
-        scored = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", (product / (F.col("count_a") * F.col("count_b"))).alias("s"))
-        best = settle(scored.where(F.col("s") >= threshold).groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b")))
+        score = lambda e: e.join(side("a"), "a").join(side("b"), "b").select("a", "b", (product / (F.col("count_a") * F.col("count_b"))).alias("s")).where(F.col("s") >= threshold)
+        best = settle(score(edges).groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b")))
         mutual = settle(best.alias("p").join(best.alias("q"), (F.col("p.b") == F.col("q.a")) & (F.col("q.b") == F.col("p.a"))).where("p.a < p.b").selectExpr("p.b as gone", "p.a as keep"))
         if mutual.isEmpty():
-            break
+            # Clusters that are similar enough but share no edge: the nearest of all clusters' means. The mean similarity is
+            # at most the cosine of the means, so the search for these leaves none out.
+            more = _missing_edges(clusters, dim, threshold) if compare else edges.limit(0)
+            more = settle(score(more.join(edges, ["a", "b"], "left_anti")).select("a", "b"))
+            if more.isEmpty():
+                break
+            edges = settle(edges.unionByName(more))
+            continue
         to = lambda df, k: df.join(mutual.withColumnRenamed("gone", k), k, "left").withColumn(k, F.coalesce("keep", k)).drop("keep")
         merged = to(clusters, "c")
         sums = [F.sum(F.col("sum")[i]).alias(f"s{i}") for i in range(dim)]
@@ -278,7 +295,7 @@ def average_linkage(nodes: DataFrame, dim: int, threshold: float, task_nodes: in
     small = parts.join(large, "part", "left_anti").select("part", *columns).repartition(tasks, "part").select(*columns)
     out = small.mapInArrow(_cluster_task(threshold, dim, compare), CLUSTER)
     if not large.isEmpty():
-        out = out.unionByName(_large_rounds(parts.join(large, "part", "left_semi").select(*columns), threshold, dim, task_nodes))
+        out = out.unionByName(_large_rounds(parts.join(large, "part", "left_semi").select(*columns), threshold, dim, task_nodes, compare))
     return out
 
 
@@ -422,4 +439,4 @@ def isolated_cliques(
     if vectors is not None:
         members = settle(members.join(nodes.select("rep", "vec"), "rep").select("cluster_id", "rep", "vec"))
         members = members.join(_not_isolated(vectors, members, assignment, copies, threshold, dim, task_nodes), "cluster_id", "left_anti")
-    return members.join(copies, "rep", "left").select("cluster_id", F.coalesce("id", "rep").alias("id")).where("id > cluster_id")
+    return unfolded(members.select("cluster_id", "rep"), copies, ["rep"]).select("cluster_id", "id").where("id > cluster_id")

@@ -210,16 +210,24 @@ def test_each_pair_is_counted_once_with_visitors(spark, monkeypatch, part):
     assert all(r["n"] <= full[r["rep"]] for r in n) and sum(r["n"] for r in n) > 0.8 * full.sum()
 
 
-def test_few_edges_give_the_clusters_of_all(spark):
+@pytest.mark.parametrize("task_nodes", [50_000, 30])
+def test_few_edges_give_the_clusters_of_all(spark, task_nodes):
     rng = np.random.default_rng(4)
     far = lambda x, noise: ann.unit(np.repeat(x, 12, axis=0) + noise * rng.normal(size=(12 * len(x), 64)) / 8)
     x = far(far(far(ann.unit(rng.normal(size=(1, 64))), 0.35), 0.3)[:96], 0.2)[:960].astype(np.float32)
     u = ann.unit(x.astype(float))
     i, j = np.nonzero((np.round(u @ u.T, 6) >= 0.85) & ~np.eye(len(x), dtype=bool))
     full = clusters.merge_rounds(u, np.ones(len(x)), np.arange(len(x)), i, j, 0.85)
-    _, assignment, _ = clusters.clusters(frame(spark, x), 64, 0.85)
+    _, assignment, _ = clusters.clusters(frame(spark, x), 64, 0.85, task_nodes)
     got = {}
     for r in assignment.collect():
         got.setdefault(r["cluster_id"], set()).add(r["rep"])
     want = {frozenset(np.flatnonzero(full == k).tolist()) for k in set(full)}
-    assert {frozenset(v) for v in got.values() if len(v) > 1} == {v for v in want if len(v) > 1}
+    got, want = {frozenset(v) for v in got.values() if len(v) > 1}, {v for v in want if len(v) > 1}
+    if task_nodes > 1000:
+        assert got == want
+    else:  # the rounds of joins look for missing edges only when no others are left: nearly the same, and none is left to merge
+        sums = [u[sorted(v)].mean(0) for v in got]
+        rest = np.array(sums) @ np.array(sums).T
+        np.fill_diagonal(rest, 0)
+        assert rest.max() < 0.85 and len(got & want) >= 0.7 * len(want)
