@@ -46,6 +46,8 @@ PROBE_LISTS = 8
 PROBED, LOOKED_IN, DENSE, REACHED = 16, 64, 0.25, 0.99
 #: Rows of a matrix block, and of a part of a list.
 BLOCK, PART_ROWS = 1024, 32_768
+#: Ids of equal vectors that one task unfolds.
+SALT_IDS = 1 << 18
 #: Candidates nearer to the threshold than this in single precision are computed again in double precision.
 SLACK = 1e-4
 #: Neighbours of a node in the centroid graph, nodes that a search holds, and steps that it takes.
@@ -472,11 +474,11 @@ def _unpack(vec: pa.Array, dim: int) -> np.ndarray:
 
 
 def copies_of(df: DataFrame, kind: int, dim: int, data_col: str = "data") -> DataFrame:
-    """(kind, id, rep) of the ids, each once, whose vector other ids have as well; rep is the smallest of them. Only hashes
-    of vectors are shuffled, counted on the map side first."""
+    """(kind, id, rep, ids) of the ids, each once, whose vector other ids have as well; rep is the smallest of them, ids their
+    number. Only hashes of vectors are shuffled, counted on the map side first."""
     hashed = packed_vectors(df, "id", data_col, dim).select("id", F.unhex(F.md5("vec")).alias("key")).distinct()
     groups = hashed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("ids")).where("ids > 1")
-    return hashed.join(groups, "key").select(F.lit(kind).alias("kind"), "id", "rep")
+    return hashed.join(groups, "key").select(F.lit(kind).alias("kind"), "id", "rep", "ids")
 
 
 def unfolded(rows: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
@@ -509,8 +511,19 @@ def nearest(vectors: DataFrame, probes: DataFrame | None, dim: int = 64, k: int
     named = entries.join(firsts, "found", "left").select("kind", "rep", F.coalesce("neighbour", "found").alias("neighbour"), "sim")
     order = Window.partitionBy("kind", "rep").orderBy(F.col("sim").desc(), "neighbour")
     candidates = named.unionByName(own).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    candidates = candidates.groupBy("kind", "rep").agg(F.array_sort(F.collect_list(F.struct("r", "neighbour", "sim"))).alias("c"))
-    all_ids = unfolded(candidates, members, ["kind", "rep"]).select("kind", "id", "c")
+    # A representative's number of ids comes with its candidates: both sides of the join are salted by it, so that the ids of
+    # one vector, of whatever share of all, are divided over tasks. Ids without copies stand for themselves.
+    sizes = members.where("id = rep").select("kind", "rep", "ids")
+    none = lambda kind: F.lit(None).cast(kind)
+    candidates = candidates.select("kind", "rep", F.struct("r", "neighbour", "sim").alias("e"), none("bigint").alias("ids")).unionByName(
+        sizes.select("kind", "rep", none("struct<r:int,neighbour:bigint,sim:double>").alias("e"), "ids")
+    )
+    candidates = candidates.groupBy("kind", "rep").agg(F.array_sort(F.collect_list("e")).alias("c"), F.max("ids").alias("ids"))
+    salts = F.ceil(F.coalesce("ids", F.lit(1)) / SALT_IDS)
+    spread = candidates.where(F.size("c") > 0).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    salted = members.select("kind", "rep", "id", F.pmod(F.xxhash64("id"), salts).alias("salt"))
+    joined = spread.join(salted, ["kind", "rep", "salt"], "left").where("id is not null or ids is null")
+    all_ids = joined.select("kind", F.coalesce("id", "rep").alias("id"), "c")
     others = F.slice(F.filter("c", lambda e: ~((F.col("kind") == 0) & (e["neighbour"] == F.col("id")))), 1, k)
     out = all_ids.select("kind", "id", F.posexplode(others).alias("rank", "e"))
     return out.select("kind", "id", (F.col("rank") + 1).alias("rank"), F.col("e.neighbour").alias("neighbour"), F.col("e.sim").alias("sim"))

@@ -43,6 +43,7 @@ BAD = [(90001, None), (90002, []), (90003, [0.0] * DIM), (90004, [1.0] * (DIM -
 def test_nearest(spark, monkeypatch, list_size, part):
     monkeypatch.setattr(ann, "LIST_SIZE", list_size)
     monkeypatch.setattr(ann, "PART_ROWS", part)
+    monkeypatch.setattr(ann, "SALT_IDS", 7 if part == 30 else 1 << 18)
     x = groups(40, 10, 0.25, 1)
     x = np.concatenate([x, np.repeat(x[:1], 200, axis=0), x[5:6] * 3])  # a third are copies of one; one copy in direction only
     q = np.concatenate([x[::37], groups(3, 2, 0.3, 9)])
