@@ -323,6 +323,22 @@ def test_work_ledger_survives_expiry_retries_and_stale_writers(spark, tmp_path):
     assert ledger.output_path("a") == ledger.output_path("a") != ledger.output_path("b")
 
 
+def test_next_run(spark, tmp_path):
+    t = lambda s: dt.datetime(2025, 1, 1, 0, 0, s)
+    scans = spark.createDataFrame([(i, p, c * 64, "ok", t(1), t(1)) for i, (p, c) in enumerate([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")])], "scan_id bigint, filepath string, hash string, outcome string, seen_at timestamp, loaded_at timestamp")
+    ledger = spark.createDataFrame([("./a", "1" * 64, 1, t(2)), ("b", "2" * 64, 2, t(2)), ("c", "3" * 64, 3, t(2)), ("d", "9" * 64, 1, t(2)), (None, None, None, None)], "filepath string, hash string, run_id bigint, written_at timestamp")
+    runs = spark.createDataFrame([(1, t(1), t(3), "ok"), (2, t(4), t(5), "failed"), (3, t(6), None, "running"), (None, None, None, None)], "run_id bigint, started_at timestamp, finished_at timestamp, status string")
+    work, token, items, now = worklist.next_run(spark, str(tmp_path / "w"), scans, ledger, runs, 60)
+    assert sorted(r["filepath"] for r in items.collect()) == ["b", "c", "d"] and token == 4
+    # While the run that is still marked as running holds its lease, its item isn't pending.
+    early = worklist.fold(work._read("items", worklist.ITEMS), worklist.history(ledger, runs, 60), F.lit(t(30)))
+    assert {(r["filepath"], r["state"], r["token"]) for r in early.collect()} == {("a", "done", 1), ("b", "pending", None), ("c", "leased", 3), ("d", "pending", 1)}
+    assert all(r["accepted"] for r in work.commit(token, items, now).collect())
+    assert worklist.next_run(spark, str(tmp_path / "w"), scans, ledger, runs, 60)[2].count() == 0  # the same work ledger again
+    none = [x.limit(0) for x in (scans, ledger, runs)]
+    assert worklist.next_run(spark, str(tmp_path / "none"), *none)[2].count() == 0
+
+
 def test_a_lease_before_a_commit_fences_it_whenever_it_is_written(spark):
     t = lambda s: dt.datetime(2025, 1, 1, 0, 0, s)
     items = spark.createDataFrame([(x, "1", None) for x in "abcd"], worklist.ITEMS)
