@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.session import bounded_batches
+from fathomline.session import bounded_batches, settle
 
 #: Vectors of a list on average, before those on borders are added; at most MOST_CENTROIDS lists, beyond which lists grow
 #: and are searched in parts.
@@ -500,6 +500,7 @@ def nearest(vectors: DataFrame, probes: DataFrame | None, dim: int = 64, k: int
     members = copies_of(vectors, 0, dim, data_col)
     if probes is not None:
         members = members.unionByName(copies_of(probes, 1, dim, data_col))
+    members = settle(members)  # read three times
     # Of equal vectors the k + 1 smallest ids are enough for anyone's k nearest.
     firsts = members.where("kind = 0").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
     firsts = firsts.select(F.col("rep").alias("found"), F.col("id").alias("neighbour"))
