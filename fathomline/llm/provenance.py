@@ -7,6 +7,7 @@ comments, no white space, one case), winnowed. What recurs says where a file com
 * in a third-party package: a file is a copy if most of a package's file recurs in it, or if most of it recurs in one. Every
   window of WINDOW + GRAM - 1 tokens that is shared has a shared fingerprint, so an altered copy keeps those of its
   unaltered stretches. A file shared among the corpus's own repositories says nothing: only packages count as unrelated.
+  What stands in many packages counts as part of a package's file, but doesn't tell whose text a file consists of.
 * in the file itself, numbers aside: a tool repeats one template over and over, a person doesn't.
 * in the comments at the top of many files over unrelated repositories: a notice that stands mostly on files that repeat a
   template is the notice of a tool, and says so of the other files that bear it. No list of phrases is needed; licences and
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fathomline.llm.bpe import Remembered
 from fathomline.session import bounded_batches, settle
@@ -38,7 +40,8 @@ COPY_OF_FILE, COPY_IN_FILE, COPY_LEAST = 0.5, 0.6, 20
 TEMPLATE_SHARE, TEMPLATE_REPEATS = 0.4, 6
 #: A tool's notice: runs of so many tokens, on so many files in so many roots at least, of which this share repeat a template.
 NOTICE_GRAM, NOTICE_FILES, NOTICE_ROOTS, NOTICE_SHARE = 4, 3, 2, 0.6
-#: A fingerprint of more package files than this is boilerplate: it counts neither for nor against a copy.
+#: A fingerprint in different files of more packages than this is boilerplate: a file may consist of it without being a copy.
+#: It is a part of the packages' files all the same, and a file that has most of one is a copy.
 MOST_PACKAGE_FILES = 64
 #: Minified: little white space, and names of a letter or two or lines of great length.
 MIN_SPACE, MIN_NAME, MIN_LINE, MIN_TOKENS = 0.13, 2.6, 400, 40
@@ -142,22 +145,50 @@ def _listed(parts: list[np.ndarray]) -> pa.Array:
 
 
 def package_prints(packages: DataFrame) -> DataFrame:
-    """(upstream_id, n_theirs, print): the fingerprints of the packages' files, each once, without boilerplate; and, with a null
-    upstream_id, what is boilerplate. n_theirs is the number of the file's fingerprints that aren't."""
+    """(file, n_theirs, n_plain, place, common, print): all fingerprints of the packages' files, each once. Files with equal
+    fingerprints are one. common: whether it is boilerplate; n_theirs, n_plain: the number of the file's fingerprints, and
+    of those that aren't; place: its place in the file, from 1, boilerplate last and else the rarest first."""
     bounded_batches(packages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprints(code_tokens(t or "", p or "")) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(prints)], ["upstream_id", "prints"])
-
-    rows = packages.where("upstream_id is not null").select(F.col("upstream_id").cast("bigint").alias("upstream_id"), "filepath", "text")
-    every = rows.mapInArrow(run, "upstream_id bigint, prints array<bigint>").select("upstream_id", F.explode("prints").alias("print")).distinct()
-    common = every.groupBy("print").count().where(F.col("count") > MOST_PACKAGE_FILES).select("print")
-    own = every.join(common, "print", "left_anti")
-    sizes = own.groupBy("upstream_id").agg(F.count("*").alias("n_theirs"))
-    none = F.lit(None).cast("bigint")
-    return settle(own.join(sizes, "upstream_id").select("upstream_id", "n_theirs", "print").unionByName(common.select(none.alias("upstream_id"), none.alias("n_theirs"), "print")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(prints)], ["package", "prints"])
+
+    # A file without a package's name stands for one of its own.
+    name = F.coalesce("package", F.concat(F.lit("\0"), F.col("upstream_id").cast("string")))
+    rows = packages.where("upstream_id is not null").select(name.alias("package"), "filepath", "text")
+    files = rows.mapInArrow(run, "package string, prints array<bigint>").groupBy("prints").agg(F.min("package").alias("package"))
+    files = files.withColumn("file", F.monotonically_increasing_id())
+    every = settle(files.select("file", "package", F.explode("prints").alias("print")))
+    counts = every.groupBy("print").agg(F.count("*").alias("files"), (F.count_distinct("package") > MOST_PACKAGE_FILES).alias("common"))
+    file = Window.partitionBy("file")
+    place = F.row_number().over(file.orderBy("common", "files", "print"))
+    numbers = F.count("*").over(file).alias("n_theirs"), F.count_if(~F.col("common")).over(file).alias("n_plain")
+    return settle(every.join(counts, "print").select("file", *numbers, place.alias("place"), "common", "print"))
+
+
+def copied_rows(signs: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(row) of signs (row, n_ours, hits) that are copies of a file of theirs (see package_prints). Exact, though a fingerprint
+    of many files meets few of them: one of a package's files that recurs for the most part can't lack all of its rarest
+    fingerprints, as many as may be missing and one more; and only rows that packages can fill to COPY_IN_FILE look for one
+    that does. The pairs found so are compared by all their fingerprints."""
+    hits = signs.select("row", "n_ours", F.explode("hits").alias("print")).join(theirs.select("print", "common").distinct(), "print")
+    own = hits.groupBy("row", "n_ours").agg(F.count_if("common").alias("n_common"), F.count_if(~F.col("common")).alias("n_met"))
+    own = settle(own.select("row", "n_met", (F.col("n_ours") - F.col("n_common")).alias("n_own")))
+    rarest = theirs.where(F.col("place") <= F.col("n_theirs") - F.ceil(COPY_OF_FILE * F.col("n_theirs")) + 1)
+    of_file = hits.join(rarest.select("print", "file"), "print").select("row", "file")
+    filled = own.where((F.col("n_own") >= COPY_LEAST) & (F.col("n_met") >= COPY_IN_FILE * F.col("n_own"))).select("row")
+    in_file = hits.join(filled, "row", "left_semi").join(theirs.where(~F.col("common")).select("print", "file"), "print").select("row", "file")
+    pairs = of_file.unionByName(in_file).distinct()
+    plain = F.collect_list(F.when(~F.col("common"), F.col("print")))
+    files = theirs.groupBy("file", "n_theirs", "n_plain").agg(F.collect_list("print").alias("prints"), plain.alias("plain"))
+    both = pairs.join(own, "row").join(signs.select("row", "hits"), "row").join(files, "file")
+    both = both.withColumn("shared", F.size(F.array_intersect("hits", "prints"))).withColumn("shared_plain", F.size(F.array_intersect("hits", "plain")))
+    most = F.col("shared") >= COPY_OF_FILE * F.col("n_theirs")
+    most_plain = (F.col("n_plain") > 0) & (F.col("shared_plain") >= COPY_OF_FILE * F.col("n_plain"))
+    consists = (F.col("n_own") >= COPY_LEAST) & (F.col("shared_plain") >= COPY_IN_FILE * F.col("n_own"))
+    return both.where(most | most_plain | consists).select("row").distinct()
 
 
 #: Bits of the filter for each fingerprint of the packages, and of all at most (64 MB; beyond that it lets more through).
@@ -230,14 +261,9 @@ def not_hand_written(files: DataFrame, packages: DataFrame, id_col: str = "doc_i
     of all files makes no hot task, since only tools' notices, a few, go back to the files.
     """
     theirs = package_prints(packages)
-    signs = settle(_signs(files, id_col, files.sparkSession.sparkContext.broadcast(print_filter(theirs))))
-    met = signs.select("key", "n_ours", F.explode("hits").alias("print")).distinct().join(theirs, "print")
-    # Boilerplate (no upstream_id) is taken off the file's own number.
-    shared = met.groupBy("key", "n_ours", "upstream_id", "n_theirs").agg(F.count("*").alias("shared"))
-    plain = shared.where("upstream_id is null").select("key", F.col("shared").alias("common")).groupBy("key").agg(F.max("common").alias("common"))
-    both = shared.where("upstream_id is not null").join(plain, "key", "left").withColumn("n_ours", F.col("n_ours") - F.coalesce("common", F.lit(0)))
-    copied = (F.col("shared") >= COPY_OF_FILE * F.col("n_theirs")) | ((F.col("shared") >= COPY_IN_FILE * F.col("n_ours")) & (F.col("n_ours") >= COPY_LEAST))
-    copies = both.where(copied).select("key", F.lit(1).alias("rank"))
+    signs = _signs(files, id_col, files.sparkSession.sparkContext.broadcast(print_filter(theirs)))
+    signs = settle(signs.withColumn("row", F.monotonically_increasing_id()))
+    copies = signs.select("row", "key").join(copied_rows(signs, theirs), "row", "left_semi").select("key", F.lit(1).alias("rank"))
     notice = signs.select("key", "root", "template", F.explode("notices").alias("notice"))
     roots = F.approx_count_distinct("root")
     counted = notice.groupBy("notice").agg(F.count("*").alias("n"), F.count_if("template").alias("n_template"), roots.alias("roots"))

@@ -168,6 +168,19 @@ def test_boilerplate_of_many_packages_makes_no_copy(spark):
     assert {r["doc_id"] for r in provenance.not_hand_written(files, packages).collect()} == {2}
 
 
+def test_copies_of_what_many_packages_hold(spark):
+    many = provenance.MOST_PACKAGE_FILES + 6
+    body, common = rust("w", 12), rust("k", 8)
+    rows = [(i, f"p{i}", f"p{i}/w.rs", body) for i in range(many)]  # one file in many packages
+    rows += [(1000 + i, "fern", f"fern/{i}.rs", rust("v", 16) + "\n" + rust(f"v{i}", 2)) for i in range(many)]  # versions of one file
+    rows += [(2000 + i, f"p{i}", f"p{i}/a.rs", common + "\n" + rust(f"p{i}", 2)) for i in range(many)]  # files that share the most of their text
+    packages = spark.createDataFrame(rows, "upstream_id bigint, package string, filepath string, text string")
+    texts = [body, "\n".join(body.split("\n")[:5]), "\n".join(rust("v", 16).split("\n")[3:8]), common, common + "\n" + rust("x", 3), "\n".join(common.split("\n")[:3]), rust("y")]
+    files = spark.createDataFrame([(i, f"r{i}/a.rs", x) for i, x in enumerate(texts)], "doc_id bigint, filepath string, text string")
+    got = provenance.not_hand_written(files, packages).collect()
+    assert {(r["doc_id"], r["reason"]) for r in got} == {(i, "third_party") for i in range(5)}
+
+
 def check_pieces(data, limit, overlap):
     p = splitting.cut_pieces(data, limit, overlap)
     assert p[0][0] == 0 and p[-1][1] == len(data) and p[-1][2] == "end"
