@@ -6,8 +6,9 @@ A hidden Markov model with the states prose, list, table and junk labels the lin
 that says little by itself, such as a short phrase or the last words of a paragraph, takes the label of its surroundings.
 The labels' shares are then added up over the document.
 
-The model's chances are fitted on the corpus: Baum-Welch on the unlabelled lines of a bounded sample of documents, with the
-meaning of the symbols as prior, so that the states keep their names.
+The model's chances are fitted on the corpus: Baum-Welch on the unlabelled lines of all documents, with the meaning of the
+symbols as prior, so that the states keep their names. What is seen of the lines is written once; in each round the tasks
+add up what the model expects of their documents, and only these sums go to the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.bpe import VISIBLE
-from fathomline.session import bounded_batches
+from fathomline.session import bounded_batches, settle
 
 STATES = ("prose", "list", "table", "junk")
 #: Symbols and how likely each state emits them before the fit (columns as in STATES), from the meaning of the symbols: a
@@ -42,9 +43,11 @@ PRIOR = {
 STAY, STAY_AFTER_GAP = 0.86, 0.62
 #: Upper ends of the classes of a line's words.
 WORD_CLASSES = (0, 3, 7, 15)
-#: Documents of the sample, lines of one of them that the fit looks at, rounds of the fit, and the weight of the prior
-#: against that of the sample. The sample is chosen by a hash of the id.
-FIT_DOCUMENTS, FIT_LINES, FIT_ROUNDS, PRIOR_WEIGHT = 4000, 512, 12, 0.5
+#: Rounds of the fit, and the weight of the prior against that of the corpus.
+FIT_ROUNDS, PRIOR_WEIGHT = 12, 0.5
+#: Lines of a document that are walked one after another; its segments are walked side by side. Lines whose pairs of states are
+#: held at once. Chances are added up as whole numbers of 1 / UNIT, so that the sums don't depend on the order.
+SEGMENT, FIT_BLOCK, UNIT = 64, 65_536, 1 << 30
 #: Most common words that a model may hold (they are sent to every executor).
 MOST_COMMON_WORDS = 100_000
 
@@ -143,52 +146,94 @@ class Model:
         return cls(np.full(4, 0.25), move, [symbols / symbols.sum(1, keepdims=True), np.full((4, N_WORDS), 1 / N_WORDS), np.full((4, N_VARIETY), 1 / N_VARIETY)])
 
     def fitted(self, documents: list[tuple[np.ndarray, np.ndarray]], rounds: int = FIT_ROUNDS) -> Model:
-        """Baum-Welch over documents (observations, whether an empty line came before each), with this model as prior: it
-        counts as PRIOR_WEIGHT times as many lines as there are."""
-        documents = sorted((d for d in documents if len(d[0])), key=lambda d: -len(d[0]))
+        """Baum-Welch over documents (observations, whether an empty line came before each), with this model as prior."""
+        documents = [d for d in documents if len(d[0])]
         if not documents:
             return self
-        sizes = np.array([len(d[0]) for d in documents])
-        longest, n = int(sizes[0]), len(documents)
-        obs, gap = np.zeros((longest, n), np.int64), np.zeros((longest, n), np.int64)
-        for i, (o, g) in enumerate(documents):
-            obs[: len(o), i], gap[: len(o), i] = o, g
-        alive = [int((sizes > t).sum()) for t in range(longest)]
-        total, model = int(sizes.sum()), self
-        parts = (obs // (N_WORDS * N_VARIETY), obs // N_VARIETY % N_WORDS, obs % N_VARIETY)
+        seen, gaps = (np.concatenate([np.asarray(d[i], np.int64) for d in documents]) for i in (0, 1))
+        model = self
         for _ in range(rounds):
-            forward, scale = np.zeros((longest, n, 4)), np.ones((longest, n))
-            for t in range(longest):
-                a = alive[t]
-                f = np.broadcast_to(model.start, (a, 4)) if t == 0 else np.einsum("ni,nij->nj", forward[t - 1, :a], model.move[gap[t, :a]])
-                f = f * model.chance[obs[t, :a]]
-                scale[t, :a] = f.sum(1)
-                forward[t, :a] = f / f.sum(1, keepdims=True)
-            moved, post = np.zeros((2, 4, 4)), np.zeros((longest, n, 4))
-            back = np.ones((n, 4))
-            for t in range(longest - 1, -1, -1):
-                a = alive[t]
-                post[t, :a] = forward[t, :a] * back[:a]
-                if t:
-                    ahead = model.chance[obs[t, :a]] * back[:a] / scale[t, :a, None]
-                    pair = forward[t - 1, :a, :, None] * model.move[gap[t, :a]] * ahead[:, None, :]
-                    for g in (0, 1):
-                        moved[g] += pair[gap[t, :a] == g].sum(0)
-                    back = back.copy()
-                    back[:a] = np.einsum("nij,nj->ni", model.move[gap[t, :a]], ahead)
-            share = PRIOR_WEIGHT * total / 4
-            emit = []
-            for e, index in zip(self.emit, parts):
-                counts = np.zeros_like(e)
-                for t in range(longest):
-                    np.add.at(counts.T, index[t, : alive[t]], post[t, : alive[t]])
-                counts += e * share
-                emit.append(counts / counts.sum(1, keepdims=True))
-            moves = moved + self.move * (share / 2)
-            start = post[0].sum(0) + self.start * PRIOR_WEIGHT * n
-            model = Model(start / start.sum(), moves / moves.sum(2, keepdims=True), emit)
+            model = self.after(model.expected(seen, gaps, np.array([len(d[0]) for d in documents])))
         return model
 
+    def after(self, sums: np.ndarray) -> Model:
+        """The model that sums (see expected) call for, with this one as prior: it counts as PRIOR_WEIGHT times as many lines
+        as there are."""
+        sums = sums.astype(np.float64) / UNIT
+        start, moved, seen = sums[:4], sums[4:36].reshape(2, 4, 4), sums[36:].reshape(len(SYMBOLS), N_WORDS, N_VARIETY, 4)
+        share = PRIOR_WEIGHT * seen.sum() / 4
+        emit = []
+        for e, others in zip(self.emit, ((1, 2), (0, 2), (0, 1))):
+            counts = seen.sum(others).T + e * share
+            emit.append(counts / counts.sum(1, keepdims=True))
+        moves = moved + self.move * (share / 2)
+        start = start + self.start * PRIOR_WEIGHT * start.sum()
+        return Model(start / start.sum(), moves / moves.sum(2, keepdims=True), emit)
+
+    def expected(self, seen: np.ndarray, gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Expected numbers, in units of 1 / UNIT, of first states (4), moves (gap, from, to) and observations (observation,
+        state) in documents of `sizes` lines, none of them 0, whose lines stand one after another. Long documents are walked
+        in segments side by side: the product of a segment's steps says what it makes of the chances that enter it."""
+        head = np.cumsum(sizes) - sizes
+        # A document's first line comes from the start, wherever one comes from.
+        way = np.array(gaps, np.int64)
+        way[head] = 2
+        move = np.concatenate([self.move, np.broadcast_to(self.start, (1, 4, 4))])
+        parts = -(-sizes // SEGMENT)
+        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        left = np.repeat(sizes, parts) - k * SEGMENT
+        order = np.argsort(-np.minimum(left, SEGMENT), kind="stable")
+        k, left = k[order], left[order]
+        length, first = np.minimum(left, SEGMENT), np.repeat(head, parts)[order] + k * SEGMENT
+        alive = [int((length > t).sum()) for t in range(int(length[0]))]
+        enter, leave = np.broadcast_to(self.start, (len(k), 4)).copy(), np.full((len(k), 4), 0.25)
+        whole = np.flatnonzero((k > 0) | (left > SEGMENT))
+        if len(whole):
+            made = np.broadcast_to(np.eye(4), (len(whole), 4, 4)).copy()
+            for t in range(int(length[whole[0]])):
+                i = first[whole[length[whole] > t]] + t
+                m = made[: len(i)] @ (move[way[i]] * self.chance[seen[i]][:, None, :])
+                made[: len(i)] = m / m.sum((1, 2), keepdims=True)
+            place = np.empty(len(k), np.int64)
+            place[order] = np.arange(len(k))
+            at = np.full(len(k), -1)
+            at[whole] = np.arange(len(whole))
+            by_k = np.argsort(k, kind="stable")
+            by_k = np.split(by_k, np.searchsorted(k[by_k], np.arange(1, int(k.max()) + 1)))
+            for now in by_k[1:]:
+                before = place[order[now] - 1]
+                f = np.einsum("ni,nij->nj", enter[before], made[at[before]])
+                enter[now] = f / f.sum(1, keepdims=True)
+            for now in by_k[:0:-1]:
+                f = np.einsum("nij,nj->ni", made[at[now]], leave[now])
+                leave[place[order[now] - 1]] = f / f.sum(1, keepdims=True)
+        forward, back = np.empty((len(seen), 4)), np.empty((len(seen), 4))
+        for t, n in enumerate(alive):
+            i = first[:n] + t
+            f = np.einsum("ni,nij->nj", enter[:n], move[way[i]]) * self.chance[seen[i]]
+            forward[i] = enter[:n] = f / f.sum(1, keepdims=True)
+        for t in range(len(alive) - 1, -1, -1):
+            n = alive[t]
+            i = first[:n] + t
+            back[i] = leave[:n]
+            f = np.einsum("nij,nj->ni", move[way[i]], self.chance[seen[i]] * leave[:n])
+            leave[:n] = f / f.sum(1, keepdims=True)
+        whole_numbers = lambda x, s: np.rint(x * (UNIT / s)).astype(np.int64)
+        start, moved, met = np.zeros(4, np.int64), np.zeros((2, 4, 4), np.int64), np.zeros((len(self.chance), 4), np.int64)
+        for a in range(0, len(seen), FIT_BLOCK):
+            i = np.arange(a, min(a + FIT_BLOCK, len(seen)))
+            post = forward[i] * back[i]
+            post = whole_numbers(post, post.sum(1, keepdims=True))
+            start += post[way[i] == 2].sum(0)
+            for state in range(4):
+                # Exact: sums of whole numbers below 2 ** 53.
+                met[:, state] += np.bincount(seen[i], post[:, state], len(met)).astype(np.int64)
+            for g in (0, 1):
+                j = i[way[i] == g]
+                pair = forward[j - 1][:, :, None] * move[g] * (self.chance[seen[j]] * back[j])[:, None, :]
+                moved[g] += whole_numbers(pair, pair.sum((1, 2), keepdims=True)).sum(0)
+        return np.concatenate([start, moved.reshape(-1), met.reshape(-1)])
+
 
 def viterbi(lines: list[tuple[int, bool]], model: Model) -> list[int]:
     """The likeliest states of (observation, an empty line came before) in a row; ties go to the earlier state."""
@@ -248,10 +293,14 @@ def line_rows(text: str, common: frozenset[str]) -> tuple[list[tuple[int, bool]]
 
 
 def describe(text: str, common: frozenset[str], model: Model) -> tuple:
-    """The values of FIELDS. Shares of labels are by characters; other_share is the mean of the shares, by characters and
-    by lines, of the lines that aren't prose: one long line of prose doesn't outweigh a long list, nor a short list
-    after it the prose."""
-    rows, sizes, (n_words, letters, known, marks, ends) = line_rows(text, common)
+    """The values of FIELDS of a text."""
+    return _described(*line_rows(text, common), len(text), model)
+
+
+def _described(rows: list[tuple[int, bool]], sizes: list[int], sums: tuple[int, ...], length: int, model: Model) -> tuple:
+    """Shares of labels are by characters; other_share is the mean of the shares, by characters and by lines, of the lines
+    that aren't prose: one long line of prose doesn't outweigh a long list, nor a short list after it the prose."""
+    n_words, letters, known, marks, ends = sums
     total, lines = sum(sizes), len(sizes)
     chars, count = [0] * 4, [0] * 4
     for k, size in zip(viterbi(rows, model), sizes):
@@ -260,62 +309,86 @@ def describe(text: str, common: frozenset[str], model: Model) -> tuple:
     shares = [c / total if total else 0.0 for c in chars]
     other = (2 - shares[0] - count[0] / lines) / 2 if lines else 0.0
     return (
-        lines, n_words, letters / n_words if n_words else 0.0, marks / max(1, len(text)),
+        lines, n_words, letters / n_words if n_words else 0.0, marks / max(1, length),
         ends / lines if lines else 0.0, known / n_words if n_words else 0.0, *shares, other,
     )
 
 
-def fit_model(docs: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model fitted on about FIT_DOCUMENTS of docs, of which the executors send FIT_LINES numbers at most; the prior where
-    there is no line."""
-    n = docs.where(F.col(text_col).isNotNull()).count()
-    of = 1 << 20
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(of)) < max(1, min(of, int(of * FIT_DOCUMENTS / max(n, 1)))))
+SEEN = "doc_id bigint, length bigint, seen array<smallint>, sizes array<int>, sums array<bigint>"
+
+
+def seen_lines(docs: DataFrame, common: frozenset[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, length, seen, sizes, sums) of each row whose text is neither null nor blank; seen: twice the observation of each
+    line, and 1 where an empty line came before it; sizes and sums: see line_rows."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, gaps = [], []
-            for t in batch.column(0).to_pylist():
-                rows = line_rows(t, common)[0][:FIT_LINES]
-                seen.append([r[0] for r in rows])
-                gaps.append([r[1] for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.list_(pa.int32())), pa.array(gaps, pa.list_(pa.bool_()))], ["seen", "gaps"])
-
-    texts = some.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(run, "seen array<int>, gaps array<boolean>").limit(2 * FIT_DOCUMENTS).toArrow()
-    documents = [(np.array(o, np.int64), np.array(g, np.int64)) for o, g in zip(rows["seen"].to_pylist(), rows["gaps"].to_pylist())]
-    # In an order that doesn't depend on tasks, so that sums are the same in every run.
-    documents.sort(key=lambda d: (len(d[0]), d[0].tolist(), d[1].tolist()))
-    return Model.prior().fitted(documents)
+            out = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if t and VISIBLE.search(t):
+                    rows, sizes, sums = line_rows(t, common)
+                    out.append((i, len(t), [2 * o + gap for o, gap in rows], sizes, sums))
+            types = pa.int64(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)], ["doc_id", "length", "seen", "sizes", "sums"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SEEN)
+
+
+def fit_model(lines: DataFrame, rounds: int = FIT_ROUNDS) -> Model:
+    """The model fitted on all of lines (see seen_lines), which are read once a round; the prior where there is no line. A task
+    sends one row of sums."""
+    prior = model = Model.prior()
+    some = lines.where(F.size("seen") > 0).select("seen")
+
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+            sums = None
+            for batch in batches:
+                if batch.num_rows:
+                    column = batch.column(0)
+                    seen = np.asarray(column.flatten()).astype(np.int64)
+                    part = model.expected(seen >> 1, seen & 1, np.asarray(column.value_lengths()).astype(np.int64))
+                    sums = part if sums is None else sums + part
+            if sums is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.int64()))], ["sums"])
+
+        parts = [np.array(r["sums"], object) for r in some.mapInArrow(run, "sums array<bigint>").collect()]
+        if not parts:
+            return prior
+        model = prior.after(np.sum(parts, axis=0))
+    return model
 
 
 def text_statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """A row of FIELDS for each row whose text is neither null nor blank, over its whole text; no shuffle.
 
     common_words: (word); at most MOST_COMMON_WORDS rows, more is an error. Without common words there is no prose.
-    model: fitted on docs where none is given. A repeated row comes out as often as it went in. Other columns are not read.
+    model: fitted on all of docs where none is given; what is seen of their lines is written then, and texts are read once.
+    A repeated row comes out as often as it went in. Other columns are not read.
     """
     rows = common_words.select(F.lower("word").alias("word")).distinct().limit(MOST_COMMON_WORDS + 1).collect()
     if len(rows) > MOST_COMMON_WORDS:
         raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
     common = frozenset(r["word"] for r in rows if r["word"])
-    bounded_batches(docs.sparkSession)
-    model = model or fit_model(docs, common, id_col, text_col)
+    lines = seen_lines(docs, common, id_col, text_col)
+    if model is None:
+        lines = settle(lines)
+        model = fit_model(lines)
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int64()] + [pa.float64()] * (len(names) - 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                (i, *describe(t, common, model))
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                if t and VISIBLE.search(t)
+                (i, *_described([(v >> 1, v & 1) for v in seen], sizes, sums, length, model))
+                for i, length, seen, sizes, sums in zip(*(c.to_pylist() for c in batch.columns))
             ]
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return lines.mapInArrow(run, SCHEMA)
 
 
 def mostly_not_prose(statistics: DataFrame) -> DataFrame:

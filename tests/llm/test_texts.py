@@ -83,6 +83,28 @@ def test_the_fit_makes_the_sample_likelier_and_keeps_the_states(monkeypatch):
         before = after
 
 
+def test_the_fit_takes_every_line_of_every_document(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    lengths = [*rng.integers(1, 9, 30), 1, 63, 64, 65, 128, 129, 700]
+    documents = [(rng.integers(0, len(quality.Model.prior().chance), n), rng.integers(0, 2, n)) for n in lengths]
+    prior = quality.Model.prior()
+    seen, gaps, sizes = (np.concatenate([d[0] for d in documents]), np.concatenate([d[1] for d in documents]), np.array(lengths))
+    # Segments don't change the sums, and neither does adding up document by document.
+    sums = prior.expected(seen, gaps, sizes)
+    one_by_one = sum(prior.expected(*d, np.array([len(d[0])])) for d in documents)
+    monkeypatch.setattr(quality, "SEGMENT", 1000)
+    assert abs(sums - prior.expected(seen, gaps, sizes)).max() < 1e-4 * quality.UNIT and abs(sums - one_by_one).max() < 1e-4 * quality.UNIT
+    assert sums[:4].sum() / quality.UNIT == pytest.approx(len(lengths)) and sums[36:].sum() / quality.UNIT == pytest.approx(sum(lengths))
+    assert sums[4:36].sum() / quality.UNIT == pytest.approx(sum(lengths) - len(lengths))
+    # A table of more documents than a sample held, one of them longer: the model is that of all of them.
+    texts = ["- red fox\n- blue jay"] * 6000 + [PROSE + "\n"] * 3 + ["a | b\n" * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    fit = quality.fit_model(quality.seen_lines(df, COMMON), rounds=2)
+    rows = [quality.line_rows(x, COMMON)[0] for x in texts]
+    want = prior.fitted([tuple(np.array(c, np.int64) for c in zip(*r)) for r in rows], 2)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip((fit.start, fit.move, *fit.emit), (want.start, want.move, *want.emit)))
+
+
 def test_statistics_table(spark):
     rows = [(1, PROSE), (2, ""), (3, None), (4, " \u3000 "), (1, PROSE), (5, "x" * 300_000), (6, "\n".join(["- a"] * 50_000)), (None, PROSE)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_words", F.lit("clash"))
