@@ -11,7 +11,8 @@ Where one dense region is split over many lists, near neighbours share none. The
 lists as a visitor, which finds the vectors whose nearest list that is and is found by no one. How many lists it visits is
 measured on the sample, list by list (`visits_needed`); where no region is split, there are no visitors.
 
-Exact copies are folded to one representative before, and unfolded after, so they can't crowd a list.
+Exact copies are folded to one representative before, and unfolded after, so they can't crowd a list. Only vectors that may
+have an equal one are shuffled for that.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathomline.llm.provenance import print_filter
 from fathomline.session import bounded_batches, settle
 
 #: Vectors of a list on average, before those on borders are added; at most MOST_CENTROIDS lists, beyond which lists grow
@@ -356,6 +358,28 @@ def sample_vectors(df: DataFrame, data_col: str, dim: int, n: int, size: int) ->
     return unit(x.astype(np.float64)).astype(np.float32) if len(x) else np.zeros((1, dim), np.float32) + np.float32(1 / dim**0.5)
 
 
+def fold_copies(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """packed (kind, id, vec) as two tables (kind, vec, rep, copies), together a row for each distinct vector of a kind: rows
+    that nothing equals, as they come, and the others, folded. Hashes are counted first; a bounded filter of those that
+    occur again parts the rows, and what it lets through by mistake is folded alone."""
+    keyed = packed.select("kind", "vec", F.col("id").alias("rep"), F.lit(1).cast("bigint").alias("copies"), F.xxhash64("kind", "vec").alias("print"))
+    again = settle(keyed.groupBy("print").count().where("count > 1").select("print"))
+    sent = packed.sparkSession.sparkContext.broadcast(print_filter(again))
+
+    def sift(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = sent.value
+            for batch in batches:
+                h = np.asarray(batch.column(4)).view(np.uint64) & np.uint64(8 * len(bits) - 1)
+                marked = bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1 == 1
+                yield batch.select(["kind", "vec", "rep", "copies"]).filter(pa.array(marked == wanted))
+
+        return keyed.mapInArrow(run, "kind int, vec binary, rep bigint, copies bigint")
+
+    folded = sift(True).groupBy("kind", "vec").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"))
+    return sift(False), folded.select("kind", "vec", "rep", "copies")
+
+
 NEIGHBOURS = "kind int, rep bigint, copies bigint, n bigint, mix bigint, least bigint, best array<struct<sim:double,id:bigint>>"
 
 
@@ -377,7 +401,7 @@ def neighbour_rows(vectors: DataFrame, probes: DataFrame | None, dim: int, thres
     packed = packed_vectors(vectors, "id", data_col, dim).select(F.lit(0).alias("kind"), "id", "vec")
     if probes is not None:
         packed = packed.unionByName(packed_vectors(probes, "id", data_col, dim).select(F.lit(1).alias("kind"), "id", "vec"))
-    folded = packed.groupBy("kind", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    single, folded = fold_copies(packed)
     most = MOST_LISTS
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,9 +428,8 @@ def neighbour_rows(vectors: DataFrame, probes: DataFrame | None, dim: int, thres
                 ["list", "square", "role", "home", "lists", "near", "kind", "vec", "rep", "copies"],
             )
 
-    placed = folded.select("kind", "vec", "rep", "copies").mapInArrow(
-        assign, "list int, square int, role tinyint, home boolean, lists array<int>, near int, kind int, vec binary, rep bigint, copies bigint"
-    )
+    place = "list int, square int, role tinyint, home boolean, lists array<int>, near int, kind int, vec binary, rep bigint, copies bigint"
+    placed = single.mapInArrow(assign, place).unionByName(folded.mapInArrow(assign, place))
     schema = NEIGHBOURS + (", vec binary" if with_vectors else "")
 
     def search(table: pa.Table) -> pa.Table:

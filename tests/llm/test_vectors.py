@@ -62,6 +62,19 @@ def test_nearest(spark, monkeypatch, list_size, part):
     assert not [k for k in got if k[1] is None or k[1] > 90000]
 
 
+def test_only_possible_copies_are_shuffled_to_be_folded(spark):
+    x = groups(100, 3, 0.2, 4)
+    x = np.concatenate([x, x[:20], x[:1]])
+    vectors = frame(spark, x, extra=BAD + [(250, [float(v) for v in x[250]])])  # and a repeated row
+    packed = ann.packed_vectors(vectors, "id", "data", DIM).select(F.lit(0).alias("kind"), "id", "vec")
+    packed = packed.unionByName(packed.where("id in (1, 260)").withColumn("kind", F.lit(1)))  # of another kind, no copies
+    single, folded = ann.fold_copies(packed)
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    assert 21 <= folded.count() <= 25 and single.count() + folded.count() == 302
+    want = packed.groupBy("kind", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).collect()
+    assert sorted(single.unionByName(folded).collect()) == sorted(want)
+
+
 def test_empty_tables(spark):
     v = frame(spark, groups(2, 2, 0.1, 3))
     assert ann.nearest(v.limit(0), v, DIM).count() == 0
